@@ -379,7 +379,7 @@ def recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
 
 # --- records ------------------------------------------------------------------------------------------------------------------------
 
-REC = "r AS (SELECT lang AS namespace, doc_id::VARCHAR AS key, text AS payload, source, n_chars, documents.doc_id, quality, toxic FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)"
+REC = "r AS (SELECT lang AS namespace, documents.doc_id::VARCHAR AS key, text AS payload, source, n_chars, documents.doc_id, quality, toxic FROM documents LEFT JOIN labels ON documents.doc_id = labels.doc_id)"
 NOW = "timestamp'2024-01-15 00:00:00'"
 
 
@@ -486,7 +486,7 @@ def snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
     """Each event supersedes its user's one before: what held at the middle of all times."""
     from pyspark.sql import Window
 
-    e = load(spark, sf, "events").withColumn("at", F.unix_micros("ts"))
+    e = load(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     v = e.select("event_id", "user_id", F.col("at").alias("created_at"), F.lead("at").over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("deleted_at"))
     middle = e.agg(F.median("at")).head()[0]
     return records.snapshot(v, F.lit(middle)).select("user_id", "event_id")
@@ -494,7 +494,7 @@ def snapshot_read(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH m AS (SELECT quantile_disc(epoch_us(ts), 0.5) AS m FROM events) SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id FROM events, m WHERE epoch_us(ts) <= m GROUP BY user_id")
 def point_in_time(spark: SparkSession, sf: str) -> DataFrame:
-    e = load(spark, sf, "events").withColumn("at", F.unix_micros("ts"))
+    e = load(spark, sf, "events").withColumn("at", F.unix_micros(F.col("ts").cast("timestamp")))
     middle = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY at)")).head()[0]
     return records_io.replay(e, F.lit(middle), "user_id", "at").select("user_id", "event_id")
 
@@ -506,8 +506,8 @@ SELECT user_id, score FROM s ORDER BY score, user_id LIMIT (SELECT (count(*) * 0
 )
 def eviction_ranking(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events")
-    last = e.agg(F.max(F.unix_micros("ts"))).head()[0]
-    n = e.groupBy("user_id").agg(F.count("*").alias("hits"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("c"), ((F.lit(last) - F.max(F.unix_micros("ts"))) / 1e6).alias("age"))
+    last = e.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp")))).head()[0]
+    n = e.groupBy("user_id").agg(F.count("*").alias("hits"), F.coalesce(F.avg("value"), F.lit(0.0)).alias("c"), ((F.lit(last) - F.max(F.unix_micros(F.col("ts").cast("timestamp")))) / 1e6).alias("age"))
     return records.evict(n, records.keep_score(F.col("hits"), F.col("c"), F.lit(0.1), F.col("age")), 0.2, "user_id").select("user_id", "score")
 
 

@@ -92,7 +92,7 @@ def sign_bits(v: Column) -> Column:
     words = F.sequence(F.lit(0), F.floor((F.size(v) - 1) / 64).cast("int"))
     return F.transform(
         words,
-        lambda w: F.aggregate(F.slice(bits, w * 64 + 1, F.lit(64)), F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).alias("i")), lambda z, b: F.struct(F.call_function("|", z["x"], F.call_function("shiftleft", b.cast("long"), z["i"])).alias("x"), (z["i"] + 1).alias("i")), lambda z: z["x"]),
+        lambda w: F.aggregate(F.slice(bits, w * 64 + 1, F.lit(64)), F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).alias("i")), lambda z, b: F.struct(z["x"].bitwiseOR(F.call_function("shiftleft", b.cast("long"), z["i"])).alias("x"), (z["i"] + 1).alias("i")), lambda z: z["x"]),
     )
 
 

@@ -43,12 +43,12 @@ def record_id(namespace: Column, key: Column) -> Column:
 
 def visible(df: DataFrame, now: Column, expires: str = "expires_at") -> DataFrame:
     """Hides expired rows: no expiry, a zero one, or one not yet passed stays."""
-    return df.filter(F.col(expires).isNull() | (F.unix_millis(expires) == 0) | (F.col(expires) >= now))
+    return df.filter(F.col(expires).isNull() | (F.unix_millis(F.col(expires).cast("timestamp")) == 0) | (F.col(expires) >= now))
 
 
 def purged(df: DataFrame, now: Column, expires: str = "expires_at") -> tuple[DataFrame, DataFrame]:
     """(what stays, what is purged)."""
-    gone = F.coalesce((F.unix_millis(expires) != 0) & (F.col(expires) < now), F.lit(False))
+    gone = F.coalesce((F.unix_millis(F.col(expires).cast("timestamp")) != 0) & (F.col(expires) < now), F.lit(False))
     return df.filter(~gone), df.filter(gone)
 
 

@@ -15,13 +15,18 @@ def source(spark: SparkSession, folder: str, schema: T.StructType, files_per_bat
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
 
 
+def _timed(stream: DataFrame, time: str) -> DataFrame:
+    """Watermarks need times with a zone; those without one are taken in the session's."""
+    return stream.withColumn(time, F.col(time).cast("timestamp"))
+
+
 def deduplicated(stream: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """Drops repeats of a key that arrive within the watermark; state is bounded by it."""
-    return stream.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+    return _timed(stream, time).withWatermark(time, late).dropDuplicatesWithinWatermark([key])
 
 
 def windowed(stream: DataFrame, time: str, by: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
+    return _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
 
 
 def upsert(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...]) -> StreamingQuery:
