@@ -22,15 +22,14 @@ PROBE = "\\### Assistant: </turn> ok"
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judged(table(spark, sf_dir, "documents"))
-    q = F.col("_q")
     shown = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     return out.select(
         "doc_id",
-        q["n_words"].alias("n_words"),
-        *[q[c].alias(c) for c in shown],
-        quality_rules.base_failed(q).alias("base_failed"),
+        quality_rules.measure("n_words").alias("n_words"),
+        *[quality_rules.measure(c).alias(c) for c in shown],
+        quality_rules.base_failed().alias("base_failed"),
         (F.size("_failed") == 0).alias("kept"),
-        q["n_stop_words"].alias("n_stop_words"),
+        quality_rules.measure("n_stop_words").alias("n_stop_words"),
         F.array_join("_failed", ",").alias("failed_rules"),
     )
 
@@ -165,8 +164,8 @@ m AS (SELECT a.doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transfo
   len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(regexp_extract_all(t, '!')) AS n_marks,
   (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words, len(l) AS n_lines,
   len(list_filter(w, lambda x: list_contains({_sql_list(quality_rules.STOP_WORDS)}, lower(x))))::BIGINT AS n_stop_words,
-  len(list_filter(l, lambda x: regexp_matches(x, '^\s*([-*•]|\d+[.)])\s'))) AS n_bullets,
-  len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)\s*$'))) AS n_ellipses
+  len(list_filter(l, lambda x: regexp_matches(x, '^[ \t\x0b\f\r]*([-*•]|\d+[.)])[ \t\x0b\f\r]'))) AS n_bullets,
+  len(list_filter(l, lambda x: regexp_matches(x, '(\.\.\.|…)[ \t\x0b\f\r]*$'))) AS n_ellipses
   FROM a LEFT JOIN r USING (doc_id)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM m),
 f AS (SELECT *, list_filter([CASE WHEN base_failed THEN 'base' END, {', '.join(failed)}], lambda x: x IS NOT NULL) AS failed FROM b)
