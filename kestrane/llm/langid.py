@@ -245,7 +245,7 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     batches_bounded(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
     more = [("_lang", pa.string()), ("_score", pa.float64()), ("_entropy", pa.float64()), ("_rejected", pa.bool_())]
-    kinds: list[Column] = [F.lit("").alias("_lang"), F.lit(0.0).alias("_score"), F.lit(0.0).alias("_entropy"), F.lit(False).alias("_rejected")]
+    kinds: list[Column] = [F.lit("").alias("_lang"), F.lit(0.0).alias("_score"), F.lit(None).cast("double").alias("_entropy"), F.lit(False).alias("_rejected")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value

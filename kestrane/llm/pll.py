@@ -32,6 +32,7 @@ OTHER = CLASSES - 1
 EDGE = CLASSES - 1  # stands beyond a text's ends
 WINDOWS = CLASSES ** (2 * SIDE + 1)
 PARTS = 12
+LEAST_STEPS = 300  # of a part in a round, so that small corpora are learnt too
 
 
 def alphabet(df: DataFrame, text: str) -> np.ndarray:
@@ -129,7 +130,7 @@ class Network:
         net = Network(*[a.copy() for a in self.arrays()])
         m, v, step = [np.zeros_like(a) for a in net.arrays()], [np.zeros_like(a) for a in net.arrays()], 0
         p = weight / weight.sum()
-        for _ in range(epochs * max(1, -(-len(codes) // size))):
+        for _ in range(max(LEAST_STEPS, epochs * -(-len(codes) // size))):
             at = rng.choice(len(codes), size, p=p)  # by count: each window of the corpus as likely as any other
             near, middle = digits(codes[at])
             x, h, logp = net.forward(near)

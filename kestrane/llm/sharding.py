@@ -68,9 +68,9 @@ def placed(df: DataFrame, key: str, shards: Sequence[str], size: int | None = No
     table = lookup_table(shards, size, weights)
     slot, shard = f"{prefix}slot", f"{prefix}shard"
     numbers = ",".join(map(str, table))
-    lookup = df.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(numbers), ",")).alias("_slot", "_shard"))
-    lookup = lookup.select("_slot", F.col("_shard").cast("int").alias(shard))
-    return df.withColumn(slot, slot_of(F.col(key), len(table))).join(F.broadcast(lookup), F.col(slot) == F.col("_slot"), "left").drop("_slot")
+    lookup = df.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(numbers), ",")).alias("_table_slot", "_table_shard"))
+    lookup = lookup.select("_table_slot", F.col("_table_shard").cast("int").alias(shard))
+    return df.withColumn(slot, slot_of(F.col(key), len(table))).join(F.broadcast(lookup), F.col(slot) == F.col("_table_slot"), "left").drop("_table_slot")
 
 
 def write_shards(df: DataFrame, path: str, key: str, shards: Sequence[str], files: int = 1) -> None:
