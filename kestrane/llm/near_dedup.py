@@ -21,6 +21,7 @@ by order counts. Written tables in the shared folder cut the lineage, so a lost
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 from hashlib import blake2b
@@ -44,39 +45,65 @@ _A = (_rng.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uin
 _B = _rng.integers(0, 1 << 32, HASHES, np.uint64).astype(np.uint32)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
-        if len(self) < 400_000:
-            self[word] = h
-        return h
-
-
-_words = _Hashes()
+#: Odd multipliers of the hashes.
+_M, _MIX, _LAST = 0x5851F42D4C957F2D, np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+_PIECE = 1 << 20
+_bytes = np.arange(256, dtype=np.uint64)
+_LOWER = np.where((_bytes >= 65) & (_bytes <= 90), _bytes + np.uint64(33), _bytes + np.uint64(1))  # A-Z as a-z; one more, so that none is 0
+_WORD = ~(((_bytes >= 9) & (_bytes <= 13)) | (_bytes == 32))
+_SEPARATOR = re.compile(rb"[\x20\x09-\x0D]")
+_powers: list[np.ndarray] = []
+
+
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the multiplier and of its inverse mod 2^64."""
+    if not _powers or len(_powers[0]) < n:
+        n = max(n, 1 << 16)
+        with np.errstate(over="ignore"):
+            _powers[:] = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(n - 1, m, np.uint64)]) for m in (_M, pow(_M, -1, 1 << 64))]
+    return _powers
+
+
+def word_hashes(text: str) -> np.ndarray:
+    """A 64-bit hash of each word in order: a polynomial over its bytes, from differences of running sums, in pieces cut between words."""
+    data, out, at = text.encode("utf-8", "surrogatepass"), [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = min(len(data), at + _PIECE)
+        if end < len(data):
+            found = _SEPARATOR.search(data, end)
+            end = found.start() if found else len(data)
+        b = np.frombuffer(data, np.uint8, end - at, at)
+        edges = np.flatnonzero(np.diff(np.r_[False, _WORD[b], False]))
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _power_tables(len(b) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(len(b) + 1, np.uint64)
+            np.cumsum(_LOWER[b] * up[: len(b)], out=sums[1:])
+            h = (sums[ends] - sums[starts]) * down[starts]
+            h ^= h >> np.uint64(32)
+            out.append(h * _MIX + (ends - starts).astype(np.uint64))
+        at = end
+    return np.concatenate(out)
 
 
 def shingles(text: str, width: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a whole text."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < width:
-        return np.frombuffer(blake2b(b"\x00".join([b"short", *words]), digest_size=8).digest(), np.uint64)
-    if len(_words) >= 400_000:
-        _words.clear()
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = len(words) - width + 1
+    """The sorted distinct shingle hashes of a whole text. A text of fewer words has one, which also depends on how many they are."""
+    h = word_hashes(text)
+    if not len(h):
+        return h
+    short = len(h) < width
+    n, steps = (1, len(h)) if short else (len(h) - width + 1, width)
     with np.errstate(over="ignore"):
-        out = np.zeros(n, np.uint64)
-        for j in range(width):
-            out = (out ^ h[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        out = np.full(n, steps if short else 0, np.uint64)
+        for j in range(steps):
+            out = (out ^ h[j : j + n]) * _MIX
             out ^= out >> np.uint64(29)
-        out *= np.uint64(0xBF58476D1CE4E5B9)
+        out *= _LAST
         out ^= out >> np.uint64(32)
     out.sort()
-    return out[np.r_[True, out[1:] != out[:-1]]]
+    first = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=first[1:])
+    return out[first]
 
 
 def signature(s: np.ndarray) -> np.ndarray:
