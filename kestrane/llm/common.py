@@ -9,6 +9,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,7 +129,7 @@ class WordMemo:
 
 def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text each (a single longer text stands alone)."""
-    lengths = np.array([x or 0 for x in pa.compute.binary_length(batch.column(column)).to_pylist()], np.int64)
+    lengths = np.array([x or 0 for x in pc.binary_length(batch.column(column)).to_pylist()], np.int64)
     start, total = 0, 0
     for i, n in enumerate(lengths):
         if i > start and total + n > limit:

@@ -1,17 +1,19 @@
 """LM scoring by masked pseudo-likelihood.
 
-A window network predicts every character from the two before and the two after it: embeddings of the four neighbours, a hidden layer, a
-softmax over the alphabet. A text's score is the sum of its characters' conditional log-probabilities. The alphabet is the 31 most frequent
-characters of the corpus, lower-cased, and one class for all others.
+A window network predicts every token from the three before and the three after it: embeddings of the six neighbours, a hidden layer, a
+softmax over all tokens. A text's score is the sum of its tokens' conditional log-probabilities. Tokens are the 256 most frequent characters
+of the corpus, as they stand, and the UTF-8 bytes of every other character, so no two texts look alike. A byte is predicted from what stands
+outside its character and from the bytes before it, so a character's log-probability is the sum of its bytes'. The softmax has two levels:
+the 63 most frequent characters and one sum of all others, then the others among themselves.
 
-Training covers the whole corpus: every window of every text is counted on the executors and the counts are summed over the corpus. Distinct
-windows number 32^5 at most, whatever the corpus. The network is trained in numpy on those counts: in rounds, each part of the table starts
-from the same weights, trains on its windows and returns its weights, which are averaged by window counts. A round moves a few kilobytes for
-each of a fixed number of parts.
+Training covers the whole corpus: every window of every text is counted on the executors and the counts are summed over the corpus. Their
+number follows the corpus. The network is trained in numpy on those counts: in rounds, each part of the table starts from the same weights,
+trains on every one of its windows and returns its weights, which are averaged by window counts. Within a pass a window is met as often as
+its count is of the mean, once at least, and its weight is shared among the meetings. A part is worked off in groups of bounded size.
 
 Scoring needs the network once for each distinct window that a worker meets; results are kept in a table of fixed size.
 Null and empty texts have no characters and score 0. Equal texts get equal scores (given the same weights). An empty corpus leaves the network
-untrained, which predicts all characters alike.
+untrained, which predicts all tokens alike within a level.
 """
 
 from __future__ import annotations
@@ -25,14 +27,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_bounded
+from .common import Scratch, batches_bounded, pieces
 
-CLASSES, SIDE, EMBED, HIDDEN = 32, 2, 12, 32
-OTHER = CLASSES - 1
-EDGE = CLASSES - 1  # stands beyond a text's ends
-WINDOWS = CLASSES ** (2 * SIDE + 1)
+BITS, SIDE, EMBED, HIDDEN = 9, 3, 12, 48
+CLASSES = 1 << BITS  # bytes, then characters
+CHARS = CLASSES - 256
+MASK, EDGE = 0xFF, 0xFE  # no byte of UTF-8: what is hidden, and what stands beyond a text's ends
+HEAD = 63  # characters of the first level
 PARTS = 12
-LEAST_STEPS = 300  # of a part in a round, so that small corpora are learnt too
+LEAST_STEPS = 300  # of a part in a round, on average, so that small corpora are learnt too
+SIZE = 1024  # of a mini-batch
+GROUP = 1 << 19  # windows that a task trains on at a time
+PIECE = 2 << 20  # bytes of text that a task works on at a time
+SLOTS = 21  # bits of the number of results that a worker keeps
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
 
 
 def alphabet(df: DataFrame, text: str) -> np.ndarray:
@@ -41,113 +52,156 @@ def alphabet(df: DataFrame, text: str) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0x110000, np.int64)
         for batch in batches:
-            for x in batch.column("t"):
-                if x.is_valid:
-                    seen = np.frombuffer(x.as_py().lower().encode("utf-32-le"), np.uint32)
-                    total[: int(seen.max(initial=0)) + 1] += np.bincount(seen, minlength=1)
+            for piece in pieces(batch, "t", PIECE):
+                seen = np.bincount(_points([x.as_py() or "" for x in piece.column("t")]))
+                total[: len(seen)] += seen
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["c", "n"])
 
     found = df.select(F.col(text).alias("t")).mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
-    top = found.orderBy(F.desc("n"), "c").limit(CLASSES - 1).collect()
+    top = found.orderBy(F.desc("n"), "c").limit(CHARS).collect()
     return np.array([r["c"] for r in top], np.int64)
 
 
 class Coder:
-    """Class numbers of characters and window codes of texts."""
+    """Tokens of texts and their window codes."""
 
     def __init__(self, chars: np.ndarray):
-        self.low = np.full(0x3000, OTHER, np.int8)
-        self.high = {}
-        for i, c in enumerate(chars.tolist()):
-            if c < len(self.low):
-                self.low[c] = i
-            else:
-                self.high[c] = i
+        self.token = np.full(0x110000, -1, np.int16)
+        self.token[chars] = 256 + np.arange(len(chars))
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The window code of every character of all texts, and where each text's begin. A code's middle digit is the character itself."""
-        edge = "\0" * SIDE  # beyond a text's ends, of the class of others
-        codes = np.frombuffer((edge + edge.join(t.lower() for t in texts) + edge).encode("utf-32-le"), np.uint32)
-        small = codes < len(self.low)
-        c = self.low[np.where(small, codes, 0)]
-        if self.high and not small.all():
-            for k, i in self.high.items():
-                c[codes == k] = i
-        c = np.where(small, c, np.where(np.isin(codes, list(self.high) or [0]), c, OTHER)).astype(np.int32) if not small.all() else c.astype(np.int32)
-        lengths = np.array([len(t.lower()) for t in texts], np.int64)
+        """The window code of every token of all texts, and where each text's begin. A code's middle digit is the token itself."""
+        points = _points(texts)
+        tokens = self.token[points].astype(np.int64)
+        lengths = np.array([len(t) for t in texts], np.int64)
+        rare = tokens < 0
+        some = bool(rare.any())
+        if some:
+            width = np.where(rare, 1 + (points >= 0x80) + (points >= 0x800) + (points >= 0x10000), 1)
+            begin = np.cumsum(np.r_[0, width])
+            char = np.repeat(np.arange(len(points)), width)
+            left = width[char] - 1 - (np.arange(len(char)) - begin[char])  # bytes that follow in the character
+            first, point = left == width[char] - 1, points[char].astype(np.int64)
+            byte = np.where(first, np.array([0, 0, 0xC0, 0xE0, 0xF0])[width[char]] | (point >> 6 * left), 0x80 | ((point >> 6 * left) & 0x3F))
+            tokens = np.where(rare[char], byte, tokens[char])
+            lengths = np.diff(begin[np.cumsum(np.r_[0, lengths])])
         starts = np.cumsum(np.r_[0, lengths])
-        middle = np.arange(starts[-1]) + np.repeat(SIDE * (1 + np.arange(len(texts))), lengths)
-        out = np.zeros(len(middle), np.int32)
+        padded = np.full(len(tokens) + SIDE * (1 + len(texts)), EDGE, np.int64)
+        place = np.arange(len(tokens)) + np.repeat(SIDE * (1 + np.arange(len(texts))), lengths)
+        padded[place] = tokens
+        out = np.zeros(len(tokens), np.int64)
         for k in range(-SIDE, SIDE + 1):
-            out = out * CLASSES + c[middle + k]
+            c = padded[place + k]
+            if some and k > 0:
+                c[np.flatnonzero(left >= k)] = MASK
+            out = (out << BITS) | c
         return out, starts
 
 
 def digits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A window's neighbours (n, 4) and its middle (n)."""
-    d = np.stack([(codes >> (5 * k)) & (CLASSES - 1) for k in range(2 * SIDE, -1, -1)], axis=1)
+    """A window's neighbours (n, 6) and its middle (n)."""
+    d = np.stack([(codes >> (BITS * k)) & (CLASSES - 1) for k in range(2 * SIDE, -1, -1)], axis=1)
     return np.delete(d, SIDE, axis=1), d[:, SIDE]
 
 
+def _levels(middle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's number in the first level, the places of tokens of the second, and their numbers there."""
+    head = (middle >= 256) & (middle < 256 + HEAD)
+    at = np.flatnonzero(~head)
+    return np.where(head, middle - 256, HEAD), at, np.where(middle[at] < 256, middle[at], middle[at] - HEAD)
+
+
+def _log_softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
 @dataclass
 class Network:
-    """``embed``: (4, classes, EMBED); ``inner``: (4 * EMBED, HIDDEN); ``outer``: (HIDDEN, classes)."""
+    """``embed``: (6, classes, EMBED); ``inner``: (6 * EMBED, HIDDEN); ``outer``: (HIDDEN, HEAD + 1); ``rest``: (HIDDEN, classes - HEAD)."""
 
     embed: np.ndarray
     inner: np.ndarray
     inner_bias: np.ndarray
     outer: np.ndarray
     outer_bias: np.ndarray
+    rest: np.ndarray
+    rest_bias: np.ndarray
 
     @staticmethod
     def new(seed: int = 3) -> Network:
         rng = np.random.default_rng(seed)
         f = lambda *shape: (rng.standard_normal(shape) * 0.2).astype(np.float32)
-        return Network(f(2 * SIDE, CLASSES, EMBED), f(2 * SIDE * EMBED, HIDDEN), np.zeros(HIDDEN, np.float32), np.zeros((HIDDEN, CLASSES), np.float32), np.zeros(CLASSES, np.float32))
+        o = lambda *shape: np.zeros(shape, np.float32)
+        return Network(f(2 * SIDE, CLASSES, EMBED), f(2 * SIDE * EMBED, HIDDEN), o(HIDDEN), o(HIDDEN, HEAD + 1), o(HEAD + 1), o(HIDDEN, CLASSES - HEAD), o(CLASSES - HEAD))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.embed, self.inner, self.inner_bias, self.outer, self.outer_bias]
+        return [self.embed, self.inner, self.inner_bias, self.outer, self.outer_bias, self.rest, self.rest_bias]
 
-    def forward(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         x = np.concatenate([self.embed[k][near[:, k]] for k in range(2 * SIDE)], axis=1)
-        h = np.tanh(x @ self.inner + self.inner_bias)
-        z = h @ self.outer + self.outer_bias
-        z -= z.max(1, keepdims=True)
-        return x, h, z - np.log(np.exp(z).sum(1, keepdims=True))
+        return x, np.tanh(x @ self.inner + self.inner_bias)
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """The log-probability of each window's middle given its neighbours."""
         out = np.empty(len(codes), np.float32)
-        for i in range(0, len(codes), 1 << 15):
-            near, middle = digits(codes[i : i + (1 << 15)])
-            out[i : i + len(near)] = self.forward(near)[2][np.arange(len(near)), middle]
+        for i in range(0, len(codes), 1 << 14):
+            near, middle = digits(codes[i : i + (1 << 14)])
+            _, h = self.hidden(near)
+            head, at, rest = _levels(middle)
+            own = _log_softmax(h @ self.outer + self.outer_bias)[np.arange(len(h)), head]
+            if len(at):
+                own[at] += _log_softmax(h[at] @ self.rest + self.rest_bias)[np.arange(len(at)), rest]
+            out[i : i + len(own)] = own
         return out
 
-    def train(self, codes: np.ndarray, weight: np.ndarray, rate: float, epochs: int, seed: int, size: int = 1024) -> Network:
-        """Adam on mini-batches of windows, each weighted by its count (the square root, scaled, tempers the most frequent)."""
-        rng = np.random.default_rng(seed)
-        net = Network(*[a.copy() for a in self.arrays()])
-        m, v, step = [np.zeros_like(a) for a in net.arrays()], [np.zeros_like(a) for a in net.arrays()], 0
-        p = weight / weight.sum()
-        for _ in range(max(LEAST_STEPS, epochs * -(-len(codes) // size))):
-            at = rng.choice(len(codes), size, p=p)  # by count: each window of the corpus as likely as any other
-            near, middle = digits(codes[at])
-            x, h, logp = net.forward(near)
-            g = np.exp(logp)
-            g[np.arange(size), middle] -= 1
-            g /= size
-            gh = (g @ net.outer.T) * (1 - h * h)
-            gx = gh @ net.inner.T
-            ge = np.zeros_like(net.embed)
-            for k in range(2 * SIDE):
-                np.add.at(ge[k], near[:, k], gx[:, k * EMBED : (k + 1) * EMBED])
-            step += 1
-            for a, grad, mi, vi in zip(net.arrays(), (ge, x.T @ gh, gh.sum(0), h.T @ g, g.sum(0)), m, v, strict=True):
-                mi += 0.1 * (grad - mi)
-                vi += 0.001 * (grad * grad - vi)
-                a -= rate * (mi / (1 - 0.9**step)) / (np.sqrt(vi / (1 - 0.999**step)) + 1e-8)
-        return net
+
+class Trainer:
+    """Adam on mini-batches of windows."""
+
+    def __init__(self, net: Network, rate: float, seed: int):
+        self.net, self.rate, self.rng = Network(*[a.copy() for a in net.arrays()]), rate, np.random.default_rng(seed)
+        self.m, self.v, self.step = [np.zeros_like(a) for a in net.arrays()], [np.zeros_like(a) for a in net.arrays()], 0
+
+    def learn(self, codes: np.ndarray, counts: np.ndarray, mean: float, passes: int) -> None:
+        """Every window, as often as its count is of ``mean`` (once at least); a window's meetings in a pass weigh its count together."""
+        times = np.maximum(1, np.round(counts / mean)).astype(np.int64)
+        weight = (counts / times / mean).astype(np.float32)
+        for _ in range(passes):
+            at = self.rng.permutation(np.repeat(np.arange(len(codes)), times))
+            for i in range(0, len(at), SIZE):
+                part = at[i : i + SIZE]
+                self.batch(codes[part], weight[part])
+
+    def batch(self, codes: np.ndarray, weight: np.ndarray) -> None:
+        net = self.net
+        near, middle = digits(codes)
+        n = np.arange(len(codes))
+        x, h = net.hidden(near)
+        head, at, rest = _levels(middle)
+        g = np.exp(_log_softmax(h @ net.outer + net.outer_bias))
+        g[n, head] -= 1
+        w = (weight / SIZE)[:, None]
+        g *= w
+        gh = g @ net.outer.T
+        gr, hr = np.zeros((0, CLASSES - HEAD), np.float32), h[at]
+        if len(at):
+            gr = np.exp(_log_softmax(hr @ net.rest + net.rest_bias))
+            gr[np.arange(len(at)), rest] -= 1
+            gr *= w[at]
+            gh[at] += gr @ net.rest.T
+        gh *= 1 - h * h
+        gx = gh @ net.inner.T
+        ge = np.empty_like(net.embed)
+        for k in range(2 * SIDE):
+            cell = near[:, k, None] * EMBED + np.arange(EMBED)
+            ge[k] = np.bincount(cell.ravel(), gx[:, k * EMBED : (k + 1) * EMBED].ravel(), CLASSES * EMBED).reshape(CLASSES, EMBED)
+        self.step += 1
+        for a, grad, mi, vi in zip(net.arrays(), (ge, x.T @ gh, gh.sum(0), h.T @ g, g.sum(0), hr.T @ gr, gr.sum(0)), self.m, self.v, strict=True):
+            mi += 0.1 * (grad - mi)
+            vi += 0.001 * (grad * grad - vi)
+            a -= self.rate * (mi / (1 - 0.9**self.step)) / (np.sqrt(vi / (1 - 0.999**self.step)) + 1e-8)
 
 
 @dataclass
@@ -157,57 +211,111 @@ class Model:
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def window_counts(df: DataFrame, text: str, chars: np.ndarray) -> DataFrame:
-    """(code, n): every window of every text. Windows are summed within a task before they are shuffled."""
+def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 2_000_000) -> DataFrame:
+    """(code, n): every window of every text. Windows are summed within a task before they are shuffled; a task holds about ``most``."""
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        codes, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+        return codes, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(codes), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["code", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(chars)
-        total = np.zeros(WINDOWS, np.int32)  # 128 MB, however large the task
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
         for batch in batches:
-            codes, _ = coder.windows([x.as_py() or "" for x in batch.column("t")])
-            np.add.at(total, codes, 1)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(total[part].astype(np.int64))], names=["code", "n"])
-
-    return df.select(F.col(text).alias("t")).mapInArrow(count, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-def fit(df: DataFrame, text: str = "text", rounds: int = 3, epochs: int = 2, rate: float = 0.01) -> Model:
+            for piece in pieces(batch, "t", PIECE):
+                held.append(np.unique(coder.windows([x.as_py() or "" for x in piece.column("t")])[0], return_counts=True))
+                size += len(held[-1][0])
+                if size > most:
+                    held = [summed(held)]
+                    size = len(held[0][0])
+                    if size > most // 2:
+                        yield from rows(*held[0])
+                        held, size = [], 0
+        if held:
+            yield from rows(*summed(held))
+
+    return df.select(F.col(text).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def fit(df: DataFrame, text: str = "text", rounds: int = 3, rate: float = 0.01) -> Model:
     """Trains on the whole corpus."""
     spark = df.sparkSession
     batches_bounded(spark)
     scratch = Scratch(spark)
     chars = alphabet(df, text)
-    counts = scratch.keep(window_counts(df, text, chars).repartition(PARTS, F.xxhash64("code")))
+    counts = scratch.keep(window_counts(df, text, chars))
+    size, total = counts.agg(F.count("*"), F.sum("n")).head()
     net = Network.new()
+    if not size:
+        scratch.drop(counts)
+        return Model(chars, net)
+    mean = total / size
+    passes = max(1, -(-LEAST_STEPS * PARTS * SIZE // (2 * size)))
+    parts = min(240, max(PARTS, size // 2_000_000))
     for turn in range(rounds):
         step = rate * 0.5**turn
 
         def local(batches: Iterator[pa.RecordBatch], net: Network = net, turn: int = turn, step: float = step) -> Iterator[pa.RecordBatch]:
-            parts = list(batches)
-            codes = np.concatenate([np.zeros(0, np.int32), *(b.column("code").to_numpy() for b in parts)])
-            weight = np.concatenate([np.zeros(0), *(b.column("n").to_numpy() for b in parts)]).astype(np.float64)
-            if len(codes):
-                order = np.argsort(codes)
-                got = net.train(codes[order], weight[order], step, epochs, 100 * turn + int(codes.min()) % 97)
-                yield pa.RecordBatch.from_arrays([pa.array([weight.sum()]), pa.array([b"".join(a.tobytes() for a in got.arrays())], pa.binary())], names=["w", "x"])
-
-        dealt = counts.repartition(PARTS, F.xxhash64("code"))
-        got = dealt.mapInArrow(local, "w double, x binary").collect()  # PARTS rows at most, of fixed size
-        if not got:
-            break
-        got = sorted(got, key=lambda r: r["x"])
-        total = sum(r["w"] for r in got)
-        flat = sum(np.frombuffer(r["x"], np.float32).astype(np.float64) * (r["w"] / total) for r in got).astype(np.float32)
+            trainer, held, n, weight = None, [], 0, 0
+
+            def learn() -> None:
+                codes, own = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("code", "n"))
+                trainer.learn(codes, own, mean, passes)
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                if trainer is None:
+                    trainer = Trainer(net, step, 100 * turn + b.column("code")[0].as_py() % 97)
+                held.append(b)
+                n += b.num_rows
+                weight += int(b.column("n").to_numpy().sum())
+                if n >= GROUP:
+                    learn()
+                    held, n = [], 0
+            if held:
+                learn()
+            if trainer is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([float(weight)]), pa.array([b"".join(a.tobytes() for a in trainer.net.arrays())], pa.binary())], names=["w", "x"])
+
+        # the order within a part is one that no scheduling changes, and unlike that of the codes
+        dealt = counts.repartition(parts, F.xxhash64("code")).sortWithinPartitions(F.xxhash64("code", F.lit(1)), "code")
+        got = sorted(dealt.mapInArrow(local, "w double, x binary").collect(), key=lambda r: r["x"])  # a row of fixed size for each part
+        all_w = sum(r["w"] for r in got)
+        flat = sum(np.frombuffer(r["x"], np.float32).astype(np.float64) * (r["w"] / all_w) for r in got).astype(np.float32)
         ends = np.cumsum([a.size for a in net.arrays()])
         net = Network(*[f.reshape(a.shape) for f, a in zip(np.split(flat, ends[:-1]), net.arrays(), strict=True)])
     scratch.drop(counts)
     return Model(chars, net)
 
 
-_tables: dict[str, np.ndarray] = {}
+class Known:
+    """Results by window, in a table of fixed size where a later window may take another's place; results don't depend on it."""
+
+    def __init__(self, network: Network):
+        self.network = network
+        self.codes, self.values = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.float32)
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        slot = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
+        out = self.values[slot]
+        missed = np.flatnonzero(self.codes[slot] != codes)
+        if len(missed):
+            new, first, back = np.unique(codes[missed], return_index=True, return_inverse=True)
+            found = self.network.logs(new)
+            out[missed] = found[back]
+            at = slot[missed[first]]
+            self.values[at] = found
+            self.codes[at] = new  # of windows that share a slot both arrays keep the last
+        return out
+
+
+_known: dict[str, Known] = {}
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -220,23 +328,18 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         coder = Coder(m.chars)
-        if m.uid not in _tables:
-            _tables.clear()
-            _tables[m.uid] = np.full(WINDOWS, np.nan, np.float32)  # 128 MB a worker
-        known = _tables[m.uid]
-        for batch in batches:
-            n, score = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            texts = [x.as_py() or "" for x in batch.column(text)]
-            codes, starts = coder.windows(texts)
-            logs = known[codes]
-            new = np.unique(codes[np.isnan(logs)])
-            if len(new):
-                known[new] = m.network.logs(new)
-                logs = known[codes]
-            n[:] = np.diff(starts)
-            full = np.flatnonzero(n)
-            if len(full):
-                score[full] = np.add.reduceat(logs.astype(np.float64), starts[full])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(score), pa.array(score / np.maximum(n, 1))], names=[*batch.schema.names, "_n_chars", "_log_likelihood", "_per_char"])
+        if m.uid not in _known:
+            _known.clear()
+            _known[m.uid] = Known(m.network)
+        known = _known[m.uid]
+        for whole in batches:
+            for batch in pieces(whole, text, PIECE):
+                texts = [x.as_py() or "" for x in batch.column(text)]
+                n, score = np.array([len(t) for t in texts], np.int64), np.zeros(batch.num_rows)
+                codes, starts = coder.windows(texts)
+                full = np.flatnonzero(n)
+                if len(full):
+                    score[full] = np.add.reduceat(known.logs(codes).astype(np.float64), starts[full])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(score), pa.array(score / np.maximum(n, 1))], names=[*batch.schema.names, "_n_chars", "_log_likelihood", "_per_char"])
 
     return df.mapInArrow(run, schema)

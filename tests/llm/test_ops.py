@@ -5,6 +5,7 @@ import re
 import zlib
 from itertools import combinations
 
+import numpy as np
 import pytest
 from oracle import database, difference, duck_bag, spark_bag
 from pyspark.sql import functions as F
@@ -191,6 +192,35 @@ def test_language_model(spark, docs, odd, none):
     assert pll.scored(none, pll.fit(none)).isEmpty()
 
 
+def test_language_model_tells_all_characters_apart(spark, docs):
+    """Digits, other scripts and symbols are scored as what they are, whatever characters are frequent in the corpus."""
+    model = pll.fit(docs)
+    own = next(r["text"] for r in docs.collect() if r["text"] and 100 < len(r["text"]) < 2000)
+    texts = [own, own.upper(), "1234567", "7777777", "Жук", "Жар", "日本語", "日本人", "|||###", "###|||", "pvqxkj", "jkxqvp"]
+    codes = [tuple(pll.Coder(model.chars).windows([t])[0].tolist()) for t in texts]
+    assert len(set(codes)) == len(texts)
+    rows = pll.scored(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    score = {r["doc_id"]: r["_log_likelihood"] for r in rows}
+    assert len(set(score.values())) == len(texts) and all(r["_n_chars"] == len(texts[r["doc_id"]]) for r in rows)
+    per = {texts[r["doc_id"]]: r["_per_char"] for r in rows}
+    assert all(per[t] < per[own] for t in texts[1:])
+
+
+def test_language_model_trains_on_every_window(spark, docs, monkeypatch):
+    seen, counts = {}, {11: 1, 12: 1000, 13: 1, 14: 2}
+
+    def batch(self, codes, weight):
+        for c, w in zip(codes.tolist(), weight.tolist(), strict=True):
+            seen[c] = seen.get(c, 0) + w
+
+    monkeypatch.setattr(pll.Trainer, "batch", batch)
+    mean = sum(counts.values()) / len(counts)
+    pll.Trainer(pll.Network.new(), 0.01, 1).learn(*(np.array(x) for x in (list(counts), list(counts.values()))), mean, 1)
+    assert {c: w * mean for c, w in seen.items()} == pytest.approx(counts)
+    gathered = {r["code"]: r["n"] for r in pll.window_counts(docs, "text", pll.alphabet(docs, "text"), most=50_000).collect()}
+    assert sum(gathered.values()) == sum(len(r["text"] or "") for r in docs.collect())
+
+
 def test_mixing(spark, docs, odd, none):
     out = mixing.mixed(docs, fraction=0.5).select("_mix.*").toPandas()
     expected = (out["n_tokens"] * out["probability"]).sum()
