@@ -130,12 +130,12 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
 
 
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", positives: int = 3000, unlabelled: int = 6000) -> Model:
-    """Fits on rows of ``df`` with labels of ``labels`` (both already restricted to what may be learnt from).
+    """Fits on rows of ``df`` with labels of ``labels`` (both already restricted to what may be learnt from; labels of other rows don't count).
 
     Positives: about so many rows labelled 1; unlabelled: about so many rows of ``df``, whatever their labels. Both are picked by a hash of
-    the key. The prior is the share of 1 among all labels. The ids of positives are bounded by the parameter, so they are broadcast.
+    the key. The prior is the share of 1 among the labels of ``df``'s rows. The ids of positives are bounded by the parameter, so they are broadcast.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).join(df.select(key), key, "left_semi")
     n, ones = known.agg(F.count("*"), F.sum((F.col(label) == 1).cast("long"))).head()
     ones = ones or 0
     if not ones:

@@ -132,6 +132,23 @@ def test_classifier(spark, odd, none):
     assert all(0 <= r["_score"] <= 1 for r in quality_classifier.scored(odd, empty).collect())
 
 
+def test_classifier_prior_is_of_its_own_input(spark):
+    """Documents labelled 1 survive where nearly all of the input is good and where little is, whatever labels other documents have."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").filter("quality is not null").select("doc_id", "quality")
+    good, bad = labels.filter("quality = 1"), labels.filter("quality = 0")
+    few = good.filter(F.crc32(F.col("doc_id").cast("string")) % 20 == 0)
+    away = spark.range(10**9, 10**9 + 20_000).select(F.col("id").alias("doc_id"), F.lit(0).alias("quality"))
+    for own, others in ((good, bad.select("doc_id", "quality").union(away)), (few.union(bad), good.join(few, "doc_id", "left_anti"))):
+        df = docs.join(own.select("doc_id"), "doc_id", "left_semi").persist()
+        truth = {r["doc_id"]: r["quality"] for r in own.collect()}
+        model = quality_classifier.fit(df, own.union(others))
+        assert model.prior == pytest.approx(min(sum(truth.values()) / len(truth), 0.99))
+        kept = {r["doc_id"]: r["_score"] >= 0.5 for r in quality_classifier.scored(df, model).collect()}
+        share = {y: sum(kept[k] for k in truth if truth[k] == y and k in kept) / max(1, sum(v == y for v in truth.values())) for y in (0, 1)}
+        assert share[1] >= 0.9 and share[0] <= 0.1, share
+
+
 def brute_components(texts, width, percent):
     sets = {}
     for k, t in texts.items():
