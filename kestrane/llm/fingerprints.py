@@ -2,7 +2,8 @@
 
 A rolling hash over seven bytes sets chunk boundaries wherever it is -1 modulo the block size; each chunk gives one of 64 characters.
 A fingerprint is ``block:signature:signature at twice the block``. Block sizes are 3 * 2^k. Fingerprints are compared by edit
-distance (built-in ``levenshtein``) where they have a block size in common, else their likeness is 0.
+distance (built-in ``levenshtein``) where they have a block size in common, else their likeness is 0. The block size starts from the length
+and goes down while there are few boundaries, then up while there are more than a signature holds, so every part of a text counts.
 
 A null text counts as empty; the empty text's fingerprint is ``3::``. Equal texts have equal fingerprints and likeness 1. Texts are
 hashed whole. A fingerprint needs its own row alone; all hashing is vectorised in numpy over Arrow batches.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import batches_bounded, pieces
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
-LENGTH = 64  # of a signature at most, plus the last chunk's character
+LENGTH = 64  # of a signature at most, with the last chunk's character
 LEAST = 3
 WINDOW = 7
 ROLL = np.uint32(0x9E3779B1)
@@ -54,8 +55,6 @@ def _rolling(b: np.ndarray) -> np.ndarray:
 
 def _signature(prefix: np.ndarray, ends: np.ndarray, n: int) -> bytes:
     """A character for each chunk; chunks end after each place in ``ends``. What follows the last boundary is one more chunk."""
-    if len(ends) > LENGTH - 1:  # as many as fit; the rest of the text is the last chunk
-        ends = ends[: LENGTH - 1]
     stops = ends + 1
     if not len(stops) or stops[-1] != n:
         stops = np.r_[stops, n]
@@ -82,13 +81,16 @@ def fingerprint(text: bytes) -> str:
             k += 1
         # r = -1 mod 3 * 2^k implies the same mod 3 * 2^(k-1): each block size's boundaries are among the smaller one's
         least = np.flatnonzero(r % np.uint32(LEAST) == LEAST - 1)
-        while True:
-            block = LEAST << k
-            ends = least[r[least] % np.uint32(block) == block - 1]
-            if k == 0 or len(ends) >= LENGTH // 2 - 1:
-                break
+        own = r[least].astype(np.int64)
+        bounds = lambda k: least[own % (LEAST << k) == (LEAST << k) - 1]
+        ends = bounds(k)
+        while k and len(ends) < LENGTH // 2 - 1:
             k -= 1
-        twice = ends[r[ends] % np.uint32(2 * block) == 2 * block - 1]
+            ends = bounds(k)
+        while len(ends) > LENGTH - 1:  # ends by the block that exceeds every hash
+            k += 1
+            ends = bounds(k)
+        block, twice = LEAST << k, bounds(k + 1)
         return f"{block}:{_signature(prefix, ends, n).decode()}:{_signature(prefix, twice, n).decode()}"
 
 

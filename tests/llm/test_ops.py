@@ -95,6 +95,18 @@ def test_fingerprints(spark, odd, none):
     assert fingerprints.with_next(odd, "doc_id", "text", "k long, n long", pair).count() == 7
 
 
+def test_fingerprint_has_no_tail():
+    """Every chunk of a text has its character, however many boundaries repeated text brings."""
+    rolled = lambda t: fingerprints._rolling(np.frombuffer(t.encode(), np.uint8)).astype(np.int64)
+    lines = "".join(f"page {i} of the item and line {i * 7919 % 1000} " for i in range(500))
+    phrase = next(p for p in (f"qz{i} " for i in range(10_000)) if (rolled(p * 9)[7:] % 768 == 767).any())
+    for t in (lines, phrase * 2000 + lines, lines + phrase * 2000, phrase * 2000):
+        block, *signatures = fingerprints.fingerprint(t.encode()).split(":")
+        for size, signature in zip((int(block), 2 * int(block)), signatures, strict=True):
+            ends = np.flatnonzero(rolled(t) % size == size - 1)
+            assert len(signature) == len({*ends.tolist(), len(t) - 1}) <= fingerprints.LENGTH
+
+
 def test_sharding(spark, docs, odd):
     names = [f"s{i}" for i in range(7)]
     table = sharding.lookup_table(names, 251)
