@@ -119,10 +119,15 @@ def range_coded(df: DataFrame, bounds: list, vector: str = "embedding") -> DataF
 
 
 class Inverted:
-    """IVF: k-means cells as a partition column. A search reads the ``probes`` nearest cells; every row is indexed."""
+    """IVF: k-means cells as a partition column. A search reads the ``probes`` nearest cells; every row is indexed.
+
+    Where no number of probes is given it is the least that reaches the wanted recall against exact search (``probes_for``), so it follows the
+    number of cells; as many probes as cells are an exact search.
+    """
 
     def __init__(self, centers: np.ndarray, table: DataFrame, key: str, vector: str):
         self.centers, self.table, self.key, self.vector = centers, table, key, vector
+        self._probes: dict[tuple[int, float], int] = {}
 
     @classmethod
     def build(cls, df: DataFrame, key: str = "vec_id", vector: str = "embedding", cells: int | None = None, seed: int = 42, sample: int = 100_000) -> Inverted:
@@ -138,10 +143,33 @@ class Inverted:
         table = model.transform(own.withColumn("_x", array_to_vector(V.doubles(F.col(vector))))).drop("_x")
         return cls(np.array(model.clusterCenters()), table, key, vector)
 
-    def search(self, query: Sequence[float], k: int, probes: int = 10) -> DataFrame:
-        q = np.asarray(query, np.float64)
-        under = np.linalg.norm(self.centers, axis=1) * (np.linalg.norm(q) or 1.0)
-        order = np.argsort(-(self.centers @ q) / np.where(under > 0, under, 1.0), kind="stable")[:probes]
+    def _order(self, queries: np.ndarray) -> np.ndarray:
+        """For each query all cells, nearest first."""
+        norms = np.linalg.norm(self.centers, axis=1)
+        return np.argsort(-(queries @ self.centers.T) / np.where(norms > 0, norms, 1.0), axis=1, kind="stable")
+
+    def probes_for(self, k: int, recall: float = 0.9, most: int = 1000) -> int:
+        """The least number of probes whose mean recall of the k nearest other rows reaches ``recall``.
+
+        Recall is measured by brute force for the rows with keys divisible by 20; of more than ``most`` of them, those first by hash.
+        """
+        if (k, recall) not in self._probes:
+            own = self.table.filter((F.col(self.key) % 20 == 0) & (F.size(self.vector) == self.centers.shape[1]))
+            rows = own.select(F.col(self.key).cast("long").alias("query_id"), V.doubles(F.col(self.vector)).alias("v")).orderBy(F.xxhash64("query_id"), "query_id").limit(most).collect()
+            queries = self.table.sparkSession.createDataFrame([(r["query_id"], r["v"]) for r in rows], "query_id long, v array<double>")
+            near = batch(self.table, queries, k, self.key, self.vector, query_vector="v", skip_self=True)
+            cells = self.table.select(F.col(self.key).cast("long").alias("key"), "cell")
+            found = near.join(cells, "key").select("query_id", "cell").collect()  # most * k rows at most
+            needed = np.full(0, 0)
+            if found:
+                at = {r["query_id"]: i for i, r in enumerate(rows)}
+                rank = np.argsort(self._order(np.array([r["v"] for r in rows], np.float64)), axis=1)
+                needed = np.sort([rank[at[r["query_id"]], r["cell"]] for r in found]) + 1
+            self._probes[k, recall] = int(needed[max(0, int(np.ceil(recall * len(needed))) - 1)]) if len(needed) else len(self.centers)
+        return self._probes[k, recall]
+
+    def search(self, query: Sequence[float], k: int, probes: int | None = None, recall: float = 0.9) -> DataFrame:
+        order = self._order(np.asarray(query, np.float64)[None])[0][: probes or self.probes_for(k, recall)]
         return top(self.table.filter(F.col("cell").isin(*[int(i) for i in order])), query, k, self.key, self.vector)
 
 
