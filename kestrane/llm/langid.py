@@ -211,31 +211,36 @@ def calibrated(m: Model, texts: list[tuple[str, str]], miss: float = 0.001) -> M
 
 
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 400, order: int = 5) -> Model:
-    """Trains on a bounded sample of the rows: about ``docs_per_language`` whole texts for each language, picked by a hash of the text.
+    """Trains on a bounded sample: about ``docs_per_language`` distinct whole texts for each language, picked by a hash of the text.
 
-    Words are counted on the executors; their counts are what reaches the driver. A quarter of the sample calibrates.
+    Words are counted on the executors; their counts are what reaches the driver. A quarter of the sample calibrates. A language whose texts
+    would all calibrate trains on them instead; without texts to calibrate with, a language rejects nothing.
     """
-    known = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    sizes = {r[0]: r[1] for r in known.groupBy(F.col(lang)).count().collect()}
+    known = df.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
+    sizes = {r[0]: r[1] for r in known.groupBy("l").agg(F.approx_count_distinct(F.xxhash64("t"))).collect()}
     if not sizes:
         return Model([], order)
     share = F.lit(0.0)
     for name, n in sorted(sizes.items()):
-        share = F.when(F.col(lang) == name, F.lit(docs_per_language / n)).otherwise(share)
-    u = hash_share(F.col(text), F.lit(17))
-    a = known.filter(u < share).select(F.col(text).alias("t"), F.col(lang).alias("l"), (u * 1000).alias("u"))
+        share = F.when(F.col("l") == name, F.lit(docs_per_language / max(n, 1))).otherwise(share)
+    a = known.filter(hash_share(F.col("t"), F.lit(17)) < share).distinct()  # copies meet before the shuffle
     own = F.xxhash64("t", F.lit(5)) % 4 != 0
-    words = a.filter(own).select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
-    counts: dict[str, dict[str, int]] = {name: {} for name in sizes}
-    for r in words.groupBy("l", "w").count().collect():
-        counts[r[0]][r[1]] = r[2]
-    counts = {k: v for k, v in counts.items() if v}
-    if not counts:  # too few rows to divide
-        for r in known.select(F.col(lang).alias("l"), F.explode(F.split(F.lower(F.col(text)), r"[^\p{L}]+")).alias("w")).filter("w <> ''").groupBy("l", "w").count().collect():
+    counts: dict[str, dict[str, int]] = {}
+
+    def count(rows: DataFrame) -> None:
+        words = rows.select("l", F.explode(F.split(F.lower("t"), r"[^\p{L}]+")).alias("w")).filter("w <> ''")
+        for r in words.groupBy("l", "w").count().collect():
             counts.setdefault(r[0], {})[r[1]] = r[2]
-        return train(counts, order) if counts else Model([], order)
-    rest = [(r["t"], r["l"]) for r in a.filter(~own).limit(docs_per_language * len(sizes)).collect()]
-    return calibrated(train(counts, order), rest)
+
+    count(a.filter(own))
+    rest = a.filter(~own)
+    late = sorted(sizes.keys() - counts.keys())
+    if late:
+        count(rest.filter(F.col("l").isin(late)))
+        rest = rest.filter(~F.col("l").isin(late))
+    if not counts:
+        return Model([], order)
+    return calibrated(train(counts, order), [(r["t"], r["l"]) for r in rest.collect()])
 
 
 def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -133,6 +133,18 @@ def test_language(spark, odd, none):
     assert langid.predicted(odd, langid.fit(none)).filter("_lang <> 'und'").isEmpty()
 
 
+def test_language_of_few_distinct_texts(spark):
+    """A language with one text is learnt whatever its hash; one that is mostly copies of a text is learnt from its other texts, too."""
+    many = [(f"der hund und die katze gehen nummer {chr(97 + i % 26) * 3} ins haus {chr(97 + i // 26) * 2}", "de") for i in range(60)]
+    hot = [("same copy here", "en")] * 3000 + [(f"the quick brown fox jumps over lazy dogs {chr(97 + i % 26) * 3}", "en") for i in range(26)]
+    single = [(f"{c}{c}zy {c}wxu", f"l{i}") for i, c in enumerate("abcdefghijkl")]
+    df = spark.createDataFrame(many + hot + single, "text string, lang string")
+    model = langid.fit(df, docs_per_language=40)
+    assert model.languages == sorted({lang for _, lang in many + hot + single})
+    got = {r["text"]: r["_lang"] for r in langid.predicted(df, model).collect()}
+    assert all(got[t] == lang for t, lang in many + hot + single)
+
+
 def test_classifier(spark, odd, none):
     rows = Q.op6_quality_classifier(spark, "/root/testdata/sf0.01").collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
