@@ -142,14 +142,31 @@ def evict(df: DataFrame, score: Column, ratio: float, key: str) -> DataFrame:
     return df.withColumn("score", F.round(score, 6)).orderBy("score", key).limit(n)
 
 
+#: Items of a session that one row holds, about; larger sessions are split by a hash of the item.
+SESSION_BLOCK = 1000
+
+
+def session_blocks(events: DataFrame, session: str, item: str) -> DataFrame:
+    """(_s, _blocks, _block, _items): each session's distinct items in blocks of about ``SESSION_BLOCK``."""
+    own = events.select(F.col(session).alias("_s"), F.col(item).alias("_x")).filter("_x is not null").distinct()
+    sizes = own.groupBy(F.col("_s").alias("_of")).agg(F.ceil(F.count("*") / SESSION_BLOCK).alias("_blocks"))
+    dealt = own.join(sizes, F.col("_s").eqNullSafe(F.col("_of"))).withColumn("_block", F.pmod(F.xxhash64("_x"), F.col("_blocks")))
+    return dealt.groupBy("_s", "_blocks", "_block").agg(F.sort_array(F.collect_list("_x")).alias("_items"))
+
+
 def co_access(events: DataFrame, session: str, item: str, least: int = 3, most: int = 8) -> DataFrame:
     """(a, b, n): items seen together in at least ``least`` sessions, the ``most`` most frequent for each a.
 
-    Sessions are made distinct first; each item is joined with the later ones of its session through an array, so no session meets another.
+    Sessions are made distinct first. Blocks of a session meet one another in pairs, dealt over tasks, so no row or task holds a large session
+    and no session meets another. All pairs are counted alike; the reference's halving of counts in the order of accesses is left out.
     """
-    sets = events.groupBy(session).agg(F.sort_array(F.collect_set(item)).alias("_items"))
-    each = sets.select(F.posexplode("_items").alias("_i", "a"), "_items")
-    pairs = each.select("a", F.explode(F.slice("_items", F.col("_i") + 2, F.size("_items"))).alias("b"))
+    blocks = session_blocks(events, session, item)
+    with_self = blocks.select(F.posexplode("_items").alias("_i", "a"), "_items")
+    with_self = with_self.select("a", F.explode(F.slice("_items", F.col("_i") + 2, F.size("_items"))).alias("b"))
+    others = blocks.filter("_blocks > 1").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).filter("_j <> _block")
+    met = others.groupBy("_s", F.least("_block", "_j").alias("_lo"), F.greatest("_block", "_j").alias("_hi")).agg(F.collect_list("_items").alias("_two"))
+    crossed = met.filter(F.size("_two") == 2).select(F.explode(F.col("_two")[0]).alias("_x"), F.col("_two")[1].alias("_other")).select("_x", F.explode("_other").alias("_y"))
+    pairs = with_self.unionByName(crossed.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
     n = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     w = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     return n.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")

@@ -1,5 +1,7 @@
 """Edge cases that the queries over the supplied tables don't reach."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -139,3 +141,19 @@ def test_inverted_recall(spark):
     assert np.mean(shares) >= 0.9
     same = index.search(x[7].tolist(), 10, probes=60).select("vec_id", "score").collect()
     assert same == knn.top(df, x[7].tolist(), 10).select("vec_id", "score").collect()
+
+
+def test_co_access_in_blocks(spark, monkeypatch):
+    """Whole keys with a session of a third of all rows: every pair is counted, and no row holds the session."""
+    monkeypatch.setattr(records, "SESSION_BLOCK", 10)
+    rows = [(0, i) for i in range(100)] + [(1 + i // 4, 7 * i % 100) for i in range(200)] + [(None, 1), (None, 2), (3, None), (0, 5)]
+    df = spark.createDataFrame(rows, "s long, x long")
+    assert max(len(r["_items"]) for r in records.session_blocks(df, "s", "x").collect()) <= 40
+    sets, counts = {}, {}
+    for s, x in rows:
+        sets.setdefault(s, set()).update(() if x is None else (x,))
+    for xs in sets.values():
+        for a, b in combinations(sorted(xs), 2):
+            counts[a, b] = counts.get((a, b), 0) + 1
+    got = {(r["a"], r["b"]): r["n"] for r in records.co_access(df, "s", "x", least=1, most=1000).collect()}
+    assert got == counts
