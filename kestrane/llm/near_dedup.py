@@ -10,7 +10,7 @@ similarity of at least ``percent`` / 100 are linked; a group is a connected comp
 3. Members of a bucket that rounds have left in different components are then compared across components, in blocks of bounded size that are
    dealt over tasks; only pairs that pass the next step leave a task.
 4. Candidates' signatures are compared in batches. A pair is pruned as soon as the posterior probability (uniform prior) that its similarity
-   reaches the threshold falls below ``MISS``.
+   reaches the threshold falls below ``MISS``. That bounds each checkpoint, not their sum: the README states a pair's whole miss rate.
 5. Survivors are confirmed on full sets, made anew from their texts. Texts are joined by salted keys, so one that many candidates share is
    spread over tasks.
 6. Components of the confirmed links: alternating large-star and small-star steps; links never leave the executors.

@@ -1,9 +1,11 @@
 """The ten operators against brute force, exact round trips and held-out accuracy, and on odd tables."""
 
 import hashlib
+import math
 import re
 import zlib
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -220,6 +222,19 @@ def test_sequential_test_keeps_similar_pairs():
     assert (least[1:] >= least[:-1]).all() and least[-1] < 0.8 * near_dedup.HASHES
 
 
+def test_stated_miss_rate():
+    """The README's miss rate of a pair at the threshold, over all checkpoints and the bands."""
+    p = 0.8 + 0.2 / 256
+    batch = np.array([math.comb(near_dedup.BATCH, k) * p**k * (1 - p) ** (near_dedup.BATCH - k) for k in range(near_dedup.BATCH + 1)])
+    left, missed = np.ones(1), (1 - 0.8**near_dedup.ROWS) ** near_dedup.BANDS
+    for least in near_dedup.least_matches(0.8).tolist():
+        left = np.convolve(left, batch)
+        missed += left[:least].sum()
+        left[:least] = 0
+    stated = re.search(r"missed with probability ([0-9.e-]+)", (Path(__file__).parents[2] / "README.md").read_text())
+    assert stated and missed == pytest.approx(float(stated[1]), rel=0.05)
+
+
 def test_language_model(spark, docs, odd, none):
     model = pll.fit(docs)
     rows = {r["doc_id"]: r for r in pll.scored(docs, model).collect()}
