@@ -22,11 +22,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def batches_bounded(spark: SparkSession, rows: int = 2000) -> None:
-    """Arrow batches hold a bounded number of rows, so that a Python worker's memory doesn't follow the row count."""
+def batches_bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """Arrow batches hold a bounded number of rows and bytes (one longer row stands alone), so that a Python worker's memory follows neither
+    the row count nor the length of texts. The settings stay lower for the session, as plans read them when they run."""
+    conf = spark.conf
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key, "10000")) > rows:
-        spark.conf.set(key, str(rows))
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key, "67108864").rstrip("bB")) <= size:
+        conf.set(key, f"{size}b")
 
 
 class Scratch:

@@ -5,25 +5,26 @@ the whole sequence is one shingle; without words the set is empty and the text i
 similarity of at least ``percent`` / 100 are linked; a group is a connected component of links, named by its smallest id.
 
 1. Equal sets (128-bit digest) are one class from the start, represented by its smallest id, however many rows it has.
-2. Signatures of ``BANDS * ROWS`` minima; representatives that agree in a whole band share a bucket. In rounds, all members of a bucket are
-   compared with one of its members (a leader, another in each round), so a bucket of m members gives m - 1 candidates and not their square.
-3. Members of a bucket that rounds have left in different components are then compared across components, in blocks of bounded size that are
-   dealt over tasks; only pairs that pass the next step leave a task.
-4. Candidates' signatures are compared in batches. A pair is pruned as soon as the posterior probability (uniform prior) that its similarity
-   reaches the threshold falls below ``MISS``. That bounds each checkpoint, not their sum: the README states a pair's whole miss rate.
-5. Survivors are confirmed on full sets, made anew from their texts. Texts are joined by salted keys, so one that many candidates share is
-   spread over tasks.
-6. Components of the confirmed links: alternating large-star and small-star steps; links never leave the executors.
-
-Null ids are dropped by ``components`` (they can name no group) and kept by ``keep_one``. Rows of equal id are one document whose first text
-by order counts. Written tables in the shared folder cut the lineage, so a lost executor costs the tasks it held.
+2. Signatures of ``BANDS * ROWS`` minima; classes that agree in a whole band share a bucket.
+3. The first ``FIRST`` bands' buckets are dealt in blocks of bounded size, a member in one block of each bucket. A block's task prunes its
+   pairs by the sequential test, confirms survivors on full sets and returns a forest: at most m - 1 links for m members. Most of a
+   large group is one component after that.
+4. Members of buckets that still hold several components meet in pairs of blocks. A first pass returns only which members have a pair
+   of different components that passes the test (a pair counts in the first bucket that it shares); these members' full sets are then
+   sent to their blocks, which confirm and return a forest again. So nothing that leaves a task grows with the square of a group.
+5. The sequential test compares signatures in batches. A pair is pruned as soon as the posterior probability (uniform prior) that its
+   similarity reaches the threshold falls below ``MISS``. That bounds each checkpoint, not their sum: the README states the whole miss rate.
+6. Components of the links: alternating large-star and small-star steps; links never leave the executors.
+
+Ids may be of any type with an order. Null ids are dropped by ``components`` (they can name no group) and kept by ``keep_one``. Rows of
+equal id are one document, which is linked with whatever one of its texts is linked with; its set size is the largest of its texts'.
+Written tables in the shared folder cut the lineage, so a lost executor costs the tasks it held.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
@@ -34,11 +35,13 @@ from pyspark.sql import functions as F
 from .common import Scratch, batches_bounded
 
 BANDS, ROWS = 32, 5
+BAND_BITS = 5  # low bits of a bucket's key: the band
 HASHES = BANDS * ROWS
 MISS = 1e-6
 BATCH = 16
-BLOCK = 1024
-LEADER_ROUNDS = 2
+FIRST = 4
+BLOCK = 512  # members of a block at most
+BLOCK_BYTES = 8 << 20  # of a block's sets, about (a larger set stands alone)
 
 _rng = np.random.default_rng(20240607)
 _A = (_rng.integers(0, 1 << 32, HASHES, np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -148,86 +151,164 @@ def survives(low: np.ndarray, p: np.ndarray, other: np.ndarray, q: np.ndarray, l
     return out
 
 
+def _digest(s: np.ndarray) -> bytes | None:
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
+def _band_keys(sig: np.ndarray) -> np.ndarray:
+    """A 64-bit key of each band: a hash of its minima, and the band's number in the low bits."""
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(ROWS):
+            key = (key ^ sig.reshape(BANDS, ROWS)[:, j].astype(np.uint64)) * _MIX
+            key ^= key >> np.uint64(29)
+        return ((key << np.uint64(BAND_BITS)) | np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+
+
 def _features(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, digest, bands, low = [], [], [], []
             for text in batch.column("t"):
-                s = shingles(text.as_py() or "", width)
+                s = shingles(text.as_py(), width)
                 n.append(len(s))
-                digest.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                if len(s):
-                    sig = signature(s)
-                    low.append((sig >> np.uint32(12)).astype(np.uint8).tobytes())
-                    with np.errstate(over="ignore"):
-                        key = np.arange(1, BANDS + 1, dtype=np.uint64)
-                        for j in range(ROWS):
-                            key = (key ^ sig.reshape(BANDS, ROWS)[:, j].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                            key ^= key >> np.uint64(29)
-                    bands.append(key.view(np.int64))
-                else:
-                    low.append(None)
-                    bands.append(np.zeros(0, np.int64))
+                digest.append(_digest(s))
+                sig = signature(s) if len(s) else None
+                low.append((sig >> np.uint32(12)).astype(np.uint8).tobytes() if len(s) else None)
+                bands.append(_band_keys(sig) if len(s) else np.zeros(0, np.int64))
             ends = np.cumsum([0, *map(len, bands)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*bands, np.zeros(0, np.int64)])))],
                 names=["id", "n", "digest", "low", "bands"],
             )
 
-    return docs.mapInArrow(run, "id long, n long, digest binary, low binary, bands array<long>")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, low binary, bands array<long>")
 
 
-def _pruned(pairs: DataFrame, reps: DataFrame, least: np.ndarray) -> DataFrame:
-    """Of pairs (a, b) those that pass the sequential test."""
-    low = reps.select("id", "low")
-    both = pairs.join(low.select(F.col("id").alias("a"), F.col("low").alias("la")), "a").join(low.select(F.col("id").alias("b"), F.col("low").alias("lb")), "b")
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """(digest, elements) of each row: its set in full, made anew from the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("la", "lb"))
-                each = np.arange(len(x))
-                kept = pa.array(survives(x, each, y, each, least))
-                yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], names=["a", "b"])
+            sets = [shingles(t.as_py(), width) for t in batch.column("t")]
+            yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "elements"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return docs.mapInArrow(run, "digest binary, elements binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, each: int = 64) -> DataFrame:
-    """Of pairs (a, b) those whose full sets are similar enough.
+class Members:
+    """Members of buckets, as arrays: consecutive rows of equal (key, x, y) are a group, which compares its sides x and y."""
 
-    Pairs are gathered by their first text, ``each`` at most in a salt; a salt's row carries the first text once.
-    """
-    ids = scratch.keep(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    docs = scratch.keep(_by_ids(docs, ids, "id", "left_semi", ids.count()))  # whole texts, of candidates alone
-    counts = pairs.groupBy("a").agg(F.count("*").alias("n"))
-    salts = counts.select("a", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / each).cast("int"))).alias("salt"))
-    left = salts.join(docs.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").select("a", "salt", "ta", F.lit(None).cast("long").alias("b"), F.lit(None).cast("string").alias("tb"))
-    dealt = pairs.join(counts, "a").withColumn("salt", F.pmod(F.xxhash64("b"), F.floor((F.col("n") - 1) / each) + 1).cast("int"))
-    right = dealt.join(docs.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b").select("a", "salt", F.lit(None).cast("string").alias("ta"), "b", "tb")
-    rows = left.unionByName(right).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    def __init__(self, rows: pa.Table):
+        longs = lambda c: rows.column(c).to_numpy().astype(np.int64, copy=False)
+        self.key, self.x, self.y, self.side, self.c, self.n = map(longs, ("key", "x", "y", "side", "c", "n"))
+        self.id = rows.column("id").combine_chunks()
+        self.comp = rows.column("comp").combine_chunks().dictionary_encode().indices.to_numpy()
+        self.low = np.frombuffer(b"".join(rows.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)
+        self.bands = rows.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        self.elements = [np.frombuffer(x, np.uint64) for x in rows.column("elements").to_pylist()] if "elements" in rows.column_names else []
+
+    def starts(self) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, (self.key[1:] != self.key[:-1]) | (self.x[1:] != self.x[:-1]) | (self.y[1:] != self.y[:-1])])
+
+    def pairs(self, s: int, e: int, percent: int, least: np.ndarray, once: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The group's pairs of different components that their sizes allow and that pass the sequential test; with ``once``, only those
+        that share no band before this bucket's."""
+        if self.x[s] == self.y[s]:
+            p, q = np.triu_indices(e - s, 1)
+        else:
+            one, two = np.flatnonzero(self.side[s:e] == self.x[s]), np.flatnonzero(self.side[s:e] == self.y[s])
+            p, q = np.repeat(one, len(two)), np.tile(two, len(one))
+        p, q = p + s, q + s
+        near = (self.comp[p] != self.comp[q]) & (100 * np.minimum(self.n[p], self.n[q]) >= percent * np.maximum(self.n[p], self.n[q]))
+        p, q = p[near], q[near]
+        kept = survives(self.low, p, self.low, q, least)
+        p, q = p[kept], q[kept]
+        if once and len(p):
+            band = int(self.key[s]) & (BANDS - 1)
+            own = ~(self.bands[p, :band] == self.bands[q, :band]).any(1)
+            p, q = p[own], q[own]
+        return p, q
+
+    def forest(self, p: np.ndarray, q: np.ndarray, percent: int) -> Iterator[tuple[int, int]]:
+        """Of the pairs, confirmed on full sets, enough to join all that they join. ``p`` ascends."""
+        used = np.unique(np.r_[p, q])
+        parts = [self.elements[i] for i in used]
+        _, names = np.unique(np.concatenate(parts), return_inverse=True)
+        ends = np.cumsum([0, *map(len, parts)])
+        at_p, at_q = np.searchsorted(used, p), np.searchsorted(used, q)
+        comp, mark = self.comp[used].copy(), np.zeros(int(names.max()) + 1, bool)
+        size = np.diff(ends)
+        cuts = np.flatnonzero(np.r_[True, at_p[1:] != at_p[:-1]])
+        for s, e in zip(cuts, np.r_[cuts[1:], len(at_p)], strict=True):
+            i = at_p[s]
+            others = at_q[s:e][comp[at_q[s:e]] != comp[i]]
+            if not len(others):
+                continue
+            own = names[ends[i] : ends[i + 1]]
+            mark[own] = True
+            both = np.array([np.count_nonzero(mark[names[ends[j] : ends[j + 1]]]) for j in others])
+            mark[own] = False
+            for j in others[100 * both >= percent * (size[i] + size[others] - both)]:
+                if comp[j] != comp[i]:
+                    comp[comp == comp[j]] = comp[i]
+                    yield int(used[i]), int(used[j])
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[Members]:
+    """Members of whole groups, about a batch at a time."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = (pa.concat_tables([held, rows]) if held is not None else rows).combine_chunks()
+        end = [rows.column(c)[-1].as_py() for c in ("key", "x", "y")]
+        same = np.logical_and.reduce([rows.column(c).to_numpy() == v for c, v in zip(("key", "x", "y"), end, strict=True)])
+        cut = int(np.argmax(same))  # the last group may go on
+        held = rows.slice(cut)
+        if cut:
+            yield Members(rows.slice(0, cut))
+    if held is not None:
+        yield Members(held)
+
+
+def _links(rows: DataFrame, percent: int, least: np.ndarray, once: bool) -> DataFrame:
+    """Confirmed links (a, b) within the groups of ``rows``: a forest of each."""
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: np.ndarray | None = None
-        for batch in batches:
-            out_a, out_b = [], []
-            for a, ta, b, tb in zip(*(batch.column(c).to_pylist() for c in ("a", "ta", "b", "tb")), strict=True):
-                if b is None:
-                    own = shingles(ta, width)
-                    continue
-                other = shingles(tb, width)
-                # sizes alone can rule a pair out
-                if 100 * min(len(own), len(other)) < percent * max(len(own), len(other)):
-                    continue
-                both = len(np.intersect1d(own, other, assume_unique=True))
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    out_a.append(a)
-                    out_b.append(b)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
-
-    out = scratch.keep(rows.mapInArrow(run, "a long, b long"))
-    scratch.drop(ids, docs)
-    return out
+        for m in _groups(batches):
+            a, b, new = [], [], m.starts()
+            for s, e in zip(new, np.r_[new[1:], len(m.key)], strict=True):
+                p, q = m.pairs(s, e, percent, least, once)
+                for i, j in m.forest(p, q, percent) if len(p) else ():
+                    a.append(i)
+                    b.append(j)
+            if a:
+                yield pa.RecordBatch.from_arrays([m.id.take(pa.array(a)), m.id.take(pa.array(b))], names=["a", "b"])
+
+    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def _likely(rows: DataFrame, percent: int, least: np.ndarray) -> DataFrame:
+    """(key, x, y, side, c): the members that have a pair which passes the test, once in a group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m in _groups(batches):
+            found, new = [np.zeros(0, np.int64)], m.starts()
+            for s, e in zip(new, np.r_[new[1:], len(m.key)], strict=True):
+                found.append(np.unique(np.concatenate(m.pairs(s, e, percent, least, True))))
+            at = np.concatenate(found)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (m.key, m.x, m.y, m.side, m.c)], names=["key", "x", "y", "side", "c"])
+
+    return rows.mapInArrow(run, "key long, x long, y long, side long, c long")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    """Groups side by side, each in one task."""
+    return rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "c")
 
 
 def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -264,67 +345,6 @@ def connected(links: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def _blocks(buckets: DataFrame, least: np.ndarray) -> DataFrame:
-    """Pairs of different components within a bucket that pass the sequential test. ``buckets``: (key, n, id, comp, low).
-
-    A bucket's members are dealt over blocks of about ``BLOCK``; each pair of blocks is a group of its own, so no group is larger than
-    two blocks however large the bucket, and a large bucket's groups are spread over tasks.
-    """
-    a = buckets.withColumn("k", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("i", F.pmod(F.xxhash64("id"), F.col("k")).cast("int"))
-    a = a.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    a = a.select("key", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "i", "id", "comp", "low")
-    a = a.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-
-    def pairs(x: int, y: int, ids: np.ndarray, side: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if x == y:
-            p, q = np.triu_indices(len(ids), 1)
-        else:
-            first, second = np.flatnonzero(side == x), np.flatnonzero(side == y)
-            p, q = np.repeat(first, len(second)), np.tile(second, len(first))
-        differ = comp[p] != comp[q]
-        return p[differ], q[differ]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("key", "x", "y", "i", "id", "comp")
-        held = [np.zeros(0, np.int64) for _ in names]
-        held_low = np.zeros((0, HASHES), np.uint8)
-        done = False
-        source = iter(batches)
-        while not done:
-            batch = next(source, None)
-            done = batch is None
-            if not done:
-                cols = [np.concatenate([h, batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, names, strict=True)]
-                low = np.concatenate([held_low, np.frombuffer(b"".join(batch.column("low").to_pylist()), np.uint8).reshape(-1, HASHES)])
-            else:
-                cols, low = held, held_low
-            n = len(cols[0])
-            if not n:
-                continue
-            new = np.flatnonzero(np.r_[True, (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1]) | (cols[2][1:] != cols[2][:-1])])
-            ends = np.r_[new[1:], n]
-            if not done:  # the last group may go on
-                held, held_low = [c[new[-1] :] for c in cols], low[new[-1] :]
-                new, ends = new[:-1], ends[:-1]
-            found, ps, qs, total = set(), [], [], 0
-            ids = cols[4]
-            for k, (s, e) in enumerate(zip(new, ends, strict=True)):
-                p, q = pairs(cols[1][s], cols[2][s], ids[s:e], cols[3][s:e], cols[5][s:e])
-                ps.append(p + s)
-                qs.append(q + s)
-                total += len(p)
-                if total > 1 << 19 or k == len(new) - 1:
-                    p, q = np.concatenate(ps), np.concatenate(qs)
-                    kept = survives(low, p, low, q, least)
-                    x, y = ids[p[kept]], ids[q[kept]]
-                    found.update(zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist(), strict=True))
-                    ps, qs, total = [], [], 0
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)], names=["a", "b"])
-
-    return a.mapInArrow(run, "a long, b long").distinct()
-
-
 #: Ids are broadcast up to this number (8 bytes each); beyond it rows meet by a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -339,47 +359,49 @@ def components(df: DataFrame, key: str = "doc_id", text: str = "text", width: in
     batches_bounded(spark)
     scratch = Scratch(spark)
     least = least_matches(percent / 100)
-    docs = df.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("id is not null")
+    docs = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t")).filter("id is not null")
     features = scratch.keep(_features(docs, width))
-    classes = scratch.keep(features.filter("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.count("*").alias("size")))
-    copies = classes.filter("size > 1").select("digest", "rep")
+    own = [F.first(c).alias(c) for c in ("n", "low", "bands")]  # a class's rows have these in common
+    classes = features.filter("n > 0").groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("size"), *own)
+    classes = scratch.keep(classes.withColumn("c", F.monotonically_increasing_id()))  # a number of each class, fixed as it is written
+    copies = classes.filter("size > 1").select("digest", F.col("id").alias("rep"))
     member = scratch.keep(features.select("id", "n", "digest").join(copies, "digest", "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
-    alone = features.filter("n > 0").join(classes.select(F.col("rep").alias("id")), "id", "left_semi")
-    keys = alone.select("id", F.explode("bands").alias("key"))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    buckets = scratch.keep(keys.join(sizes, "key"))  # members of buckets that have company; what follows reads these two tables
-    reps = scratch.keep(alone.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "low"))
-    scratch.drop(features, classes)
-
-    tried: list[DataFrame] = []
-    links: list[DataFrame] = []
-
-    def untried(pairs: DataFrame) -> DataFrame:
-        return reduce(lambda x, y: x.join(y, ["a", "b"], "left_anti"), tried, pairs)
-
-    def still_open(comp: DataFrame) -> DataFrame:
-        """Members of buckets that hold more than one component."""
-        now = buckets.join(comp, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        span = now.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi")).filter("_lo < _hi").select("key")
-        return now.join(span, "key", "left_semi")
-
-    comp = None
-    for turn in range(LEADER_ROUNDS):
-        now = buckets.withColumn("comp", F.col("id")) if comp is None else scratch.keep(still_open(comp))
-        order = F.xxhash64("id", F.lit(turn)) if turn else F.col("id")
-        lead = now.groupBy("key").agg(F.min(F.struct(order.alias("o"), "id", "comp")).alias("x")).select("key", F.col("x.id").alias("leader"), F.col("x.comp").alias("leads"))
-        pairs = now.join(lead, "key").filter("comp <> leads").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-        pairs = scratch.keep(_pruned(untried(pairs), reps, least))
-        tried.append(pairs)
-        links.append(_confirmed(pairs, docs, width, percent, scratch))
-        scratch.drop(now)
-        comp = connected(reduce(DataFrame.unionByName, links), scratch)
-    rest = scratch.keep(untried(_blocks(still_open(comp).join(reps, "id"), least)))
-    links.append(_confirmed(rest, docs, width, percent, scratch))
-    comp = connected(reduce(DataFrame.unionByName, links), scratch)
+    scratch.drop(features)
+
+    keys = classes.select("c", F.col("n").cast("int").alias("n"), F.explode("bands").alias("key"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("long").alias("blocks")
+    sizes = keys.groupBy("key").agg(F.count("*").alias("members"), blocks).filter("members > 1").select("key", "blocks")
+    buckets = scratch.keep(keys.select("c", "key").join(sizes, "key"))  # members of buckets that have company; what follows reads it and ``reps``
+    company = classes.join(buckets.select("c").distinct(), "c", "left_semi").select("c", "id", "n", "digest", "low", "bands")
+    ids = scratch.keep(company.select("id").distinct())
+    sets = _sets(_by_ids(docs, ids, "id", "left_semi", ids.count()), width).groupBy("digest").agg(F.first("elements").alias("elements"))
+    reps = scratch.keep(company.join(sets, "digest").drop("digest"))
+    scratch.drop(classes, ids)
+
+    side = F.pmod(F.xxhash64("c"), F.col("blocks"))
+    band = F.col("key").bitwiseAND(BANDS - 1)
+    first = buckets.filter(band < FIRST).withColumn("side", side).select("key", F.col("side").alias("x"), F.col("side").alias("y"), "side", "c")
+    first = _together(first.join(reps, "c").withColumn("comp", F.col("id")))
+    links = scratch.keep(_links(first, percent, least, once=False))
+    # rows of one id with unlike texts
+    several = member.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("id", "a")
+    several = member.join(several, "id").select("a", F.col("rep").alias("b")).filter("a <> b").distinct()
+    begun = connected(links.unionByName(several), scratch)
+
+    # buckets of the first bands that had one block have been dealt with
+    now = buckets.filter((band >= FIRST) | (F.col("blocks") > 1)).join(reps.drop("elements"), "c")
+    now = now.join(begun, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    span = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    now = now.join(span, "key", "left_semi").withColumn("side", side)
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    now = now.select("*", other).withColumns({"x": F.least("side", "other"), "y": F.greatest("side", "other")})
+    likely = scratch.keep(_likely(_together(now.select("key", "x", "y", "side", "c", "id", "n", "low", "bands", "comp")), percent, least))
+    rest = likely.join(reps, "c").join(begun, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    more = scratch.keep(_links(_together(rest), percent, least, once=True))
+    comp = connected(begun.select(F.col("id").alias("a"), F.col("comp").alias("b")).unionByName(more), scratch)
     out = member.join(comp.withColumnRenamed("id", "rep"), "rep", "left")
     out = scratch.keep(out.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("comp", "rep")).alias("comp")))
-    scratch.drop(buckets, reps, member, rest, comp, *tried, *links)
+    scratch.drop(buckets, reps, member, links, likely, more, begun, comp)
     return out
 
 

@@ -4,10 +4,12 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 from itertools import combinations
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from oracle import database, difference, duck_bag, spark_bag
 from pyspark.sql import functions as F
@@ -208,15 +210,67 @@ def test_near_duplicates(spark, docs, none):
     assert near_dedup.keep_one(none).isEmpty()
 
 
-def test_blocks_find_every_pair(spark, monkeypatch):
-    """Buckets that leaders leave open are met in blocks, however large they are."""
-    monkeypatch.setattr(near_dedup, "LEADER_ROUNDS", 1)
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+@pytest.mark.parametrize(("first", "block"), [(0, 512), (0, 4), (4, 4), (32, 3)])
+def test_blocks_find_every_pair(spark, monkeypatch, first, block):
+    """Buckets that the first bands leave open are met in pairs of blocks, however large they are."""
+    monkeypatch.setattr(near_dedup, "FIRST", first)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
     texts = {i: " ".join(f"c{j}" for j in range(40 - i % 3)) + "".join(f" d{i // 6}x{j}" for j in range(4 * (i // 6))) for i in range(36)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["id"]: (r["n_shingles"], r["comp"]) for r in near_dedup.components(df, width=4).collect()} == brute_components(texts, 4, 80)
 
 
+def test_forests_stay_small():
+    """A group of m members gives m - 1 links at most, however many pairs of it are similar."""
+    texts = [" ".join(f"c{j}" for j in range(80) if j != i) for i in range(60)]
+    sets = [near_dedup.shingles(t, 1) for t in texts]
+    signatures = [near_dedup.signature(s) for s in sets]
+    n = len(texts)
+    rows = {"key": [0] * n, "x": [0] * n, "y": [0] * n, "side": [0] * n, "c": range(n), "n": [len(s) for s in sets], "id": range(n), "comp": range(n)}
+    rows |= {"low": [(s >> np.uint32(12)).astype(np.uint8).tobytes() for s in signatures], "bands": [near_dedup._band_keys(s).tolist() for s in signatures], "elements": [s.tobytes() for s in sets]}
+    members = near_dedup.Members(pa.table({k: list(v) for k, v in rows.items()}))
+    p, q = members.pairs(0, n, 80, near_dedup.least_matches(0.8), once=False)
+    assert len(p) > 1000 and len(list(members.forest(p, q, 80))) == n - 1
+
+
+def test_near_duplicates_of_odd_ids(spark):
+    """Text ids, null ids, repeated rows, and rows of one id with unlike texts, in any order."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [("1", one), ("2", two), ("3", one), ("3", two), ("4", three), ("4", three), (None, three), ("5", None), ("6", "")]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id string, text string").withColumns({c: F.lit(1) for c in ("id", "comp", "rep", "c", "n", "t", "key", "a", "b")})
+        got = {r["id"]: (r["n_shingles"], r["comp"]) for r in near_dedup.components(df, width=4).collect()}
+        assert got == {"1": (57, "1"), "2": (57, "1"), "3": (57, "1"), "4": (57, "4"), "5": (0, "5"), "6": (0, "6")}
+        kept = near_dedup.keep_one(df, width=4)
+        assert kept.columns == df.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter({"1": 1, "4": 2, None: 1, "5": 1, "6": 1})
+
+
+def test_near_duplicates_of_long_texts(spark):
+    long = " ".join(f"w{i * i % 99991}" for i in range(60_000))
+    texts = {1: long, 2: long + " end", 3: "start " + long, 4: long[: len(long) // 2]}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["id"]: r["comp"] for r in near_dedup.components(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+
+
+def test_near_duplicates_recall(spark):
+    """The README's recall, against all pairs of a larger table whose sets are compared by an inverted index."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    got = {r["id"]: r["comp"] for r in near_dedup.components(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), width=4).collect()}
+    sets, index = {}, {}
+    for k, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets[k] = {tuple(w)} if 0 < len(w) < 4 else {tuple(w[i : i + 4]) for i in range(len(w) - 3)}
+        for s in sets[k]:
+            index.setdefault(s, []).append(k)
+    links = found = 0
+    for k, s in sets.items():
+        for other, both in Counter(o for x in s for o in index[x] if o > k).items():
+            if 100 * both >= 80 * (len(s) + len(sets[other]) - both):
+                links += 1
+                found += got[k] == got[other]
+    assert links > 50 and found >= 0.99 * links
+
+
 def test_sequential_test_keeps_similar_pairs():
     least = near_dedup.least_matches(0.8)
     assert (least[1:] >= least[:-1]).all() and least[-1] < 0.8 * near_dedup.HASHES
