@@ -1,10 +1,14 @@
-"""What several operators share: scratch tables, bounded samples, Arrow batches and the word memo."""
+"""What several operators share: free column names, scratch tables, Arrow batches and the word memo.
+
+Operators that add columns keep all columns they get. Where the name of an added column is taken, the added one gets the next free name
+(``free``: underscores at its end); names that an operator uses within itself clash with nothing (``beside``).
+"""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
 import numpy as np
@@ -22,6 +26,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(columns: Iterable[str], name: str) -> str:
+    """The name, with as many underscores after it as make it differ from all columns (case aside, as Spark compares)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def beside(df: DataFrame, added: Sequence[str], used: Sequence[str], work: Callable[[DataFrame, Callable[[str], str]], DataFrame]) -> DataFrame:
+    """``work(frame, name_of)`` adds the columns ``added`` to a frame of which no column is called like them or like ``used``; ``name_of``
+    tells what a column of ``df`` is called there. Returns ``df``'s columns under their own names, and the added ones under free names."""
+    apart = {c.lower() for c in (*added, *used)}
+    moved: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower() in apart:
+            moved[c] = free([*df.columns, *moved.values(), *apart], f"_own_{c}")
+    if not moved:
+        return work(df, lambda c: c)
+    by_case = {c.lower(): to for c, to in moved.items()}
+    out = work(df.withColumnsRenamed(moved), lambda c: by_case.get(c.lower(), c))
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return out.select(*[quoted(moved.get(c, c)).alias(c) for c in df.columns], *[quoted(c).alias(free(df.columns, c)) for c in added])
+
+
 def batches_bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """Arrow batches hold a bounded number of rows and bytes (one longer row stands alone), so that a Python worker's memory follows neither
     the row count nor the length of texts. The settings stay lower for the session, as plans read them when they run."""
@@ -35,7 +63,8 @@ def batches_bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20)
 
 
 class Scratch:
-    """Tables in the folder that the cluster names in ``spark.checkpoint.dir``; a folder of our own only where it names none.
+    """Tables in the folder that the cluster names in ``spark.checkpoint.dir``; a temporary folder serves only a session on one machine
+    that names none, as in tests. A result's own last table stays, since the result is read from it; the folder is the cluster's to clear.
 
     ``keep`` cuts the lineage: it writes a frame and returns it as read again, so a lost executor costs no recomputation.
     ``drop`` removes tables that nothing needs any longer.
@@ -46,6 +75,8 @@ class Scratch:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             held = spark.sparkContext.getCheckpointDir()
+            if not held and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
             root = held or f"file://{tempfile.gettempdir()}/kestrane-scratch"
         self.root = f"{root.rstrip('/')}/kestrane-{uuid.uuid4().hex}"
         self.number = 0
@@ -97,22 +128,26 @@ class WordIndex(dict):
 class WordMemo:
     """Rows of floats by distinct word, computed once for each word that a worker meets.
 
-    ``rows_of`` maps a list of words to an array with a row each. Beyond ``limit`` words the memo starts anew (between batches),
-    so its memory is bounded; results don't depend on it.
+    ``rows_of`` maps a list of words to an array with a row each. Beyond ``limit`` words or ``size`` characters of them the memo starts anew
+    (between batches, which are bounded in bytes), so its memory is bounded; results don't depend on it.
     """
 
-    def __init__(self, rows_of: Callable[[list], np.ndarray], limit: int = 400_000):
-        self.rows_of, self.limit = rows_of, limit
-        self.index, self.rows, self.n = WordIndex(), None, 0
+    def __init__(self, rows_of: Callable[[list], np.ndarray], limit: int = 300_000, size: int = 16 << 20):
+        self.rows_of, self.limit, self.size = rows_of, limit, size
+        self.clear()
+
+    def clear(self) -> None:
+        self.index, self.rows, self.n, self.held = WordIndex(), None, 0, 0
 
     def numbers(self, texts_words: list[list]) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers of all texts, and where each text begins (one more entry at the end)."""
-        if len(self.index) > self.limit:
-            self.index, self.rows, self.n = WordIndex(), None, 0
+        if len(self.index) > self.limit or self.held > self.size:
+            self.clear()
         get = self.index.__getitem__
         ends = np.cumsum([0, *map(len, texts_words)])
         out = np.fromiter(map(get, chain.from_iterable(texts_words)), np.int64, int(ends[-1]))
         if fresh := self.index.take():
+            self.held += sum(map(len, fresh))
             new = self.rows_of(fresh)
             if self.rows is None:
                 self.rows = np.zeros((max(2 * len(new), 1024), *new.shape[1:]), new.dtype)
@@ -145,12 +180,17 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         yield batch.slice(start)
 
 
-_memos: dict[str, WordMemo] = {}
+_memos: dict[str, object] = {}
 
 
-def worker_memo(name: str, rows_of: Callable[[list], np.ndarray], limit: int = 500_000) -> WordMemo:
-    """The worker's memo of that name, which later tasks in the same worker go on with. Another name replaces it."""
+def worker_memo(name: str, make: Callable[[], object]):
+    """The worker's memo of that name, which later tasks in the same worker go on with. A worker holds one: another name replaces it."""
     if name not in _memos:
         _memos.clear()
-        _memos[name] = WordMemo(rows_of, limit)
+        _memos[name] = make()
     return _memos[name]
+
+
+def no_memo() -> None:
+    """For tasks that need none: frees what earlier tasks of the worker have left."""
+    _memos.clear()

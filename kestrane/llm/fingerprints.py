@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bounded, pieces
+from .common import batches_bounded, beside
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LENGTH = 64  # of a signature at most, with the last chunk's character
@@ -115,6 +115,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 def fingerprinted(df: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
     """Adds the fingerprint of each row's whole text."""
+    return beside(df, [out], [], lambda inner, name: _fingerprinted(inner, name(text), out))
+
+
+def _fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     batches_bounded(df.sparkSession)
     schema = df.select("*", F.lit("").alias(out)).schema
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, batches_bounded, hash_share, worker_memo
+from .common import WordMemo, batches_bounded, beside, hash_share, worker_memo
 
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -185,18 +185,14 @@ def train(counts: dict[str, dict[str, int]], order: int = 5) -> Model:
     return m
 
 
-def calibrated(m: Model, texts: list[tuple[str, str]], miss: float = 0.001) -> Model:
-    """Fits the temperature (least log-loss over a grid) and each language's rejection threshold on (text, language) pairs."""
-    memo = WordMemo(m.rows)
-    known = [(t, m.languages.index(lang)) for t, lang in texts if lang in m.languages]
-    if not known:
-        return m
-    sums = memo.sums([letter_runs(t) for t, _ in known], len(m.languages) + 1)
-    y = np.array([i for _, i in known])
-    full = sums[:, -1] > 0
-    x, y = -sums[full, :-1] / sums[full, -1:], y[full]
-    if not len(x):
+def calibrated(m: Model, sums: np.ndarray, languages: list[str], miss: float = 0.001) -> Model:
+    """Fits the temperature (least log-loss over a grid) and each language's rejection threshold. ``sums``: what ``Model.rows`` gives for the
+    words of each calibration text, added up; ``languages``: the texts' own."""
+    known = np.array([lang in m.languages for lang in languages], bool) & (sums[:, -1] > 0)
+    if not known.any():
         return m
+    y = np.array([m.languages.index(lang) for lang, k in zip(languages, known, strict=True) if k])
+    x = -sums[known, :-1] / sums[known, -1:]
 
     def loss(t: float) -> float:
         z = -x / t
@@ -210,6 +206,21 @@ def calibrated(m: Model, texts: list[tuple[str, str]], miss: float = 0.001) -> M
     return m
 
 
+def _text_sums(rows: DataFrame, m: Model) -> tuple[np.ndarray, list[str]]:
+    """The sums and languages of ``rows`` (t, l). Texts stay on the executors; a row of fixed size for each comes back."""
+    shared = rows.sparkSession.sparkContext.broadcast(m)
+    width = len(m.languages) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = WordMemo(shared.value.rows)
+        for batch in batches:
+            s = memo.sums([letter_runs(x.as_py()) for x in batch.column("t")], width)
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in s], pa.binary()), batch.column("l")], names=["s", "l"])
+
+    got = sorted(rows.select("t", F.col("l").cast("string").alias("l")).mapInArrow(run, "s binary, l string").collect())
+    return np.frombuffer(b"".join(r["s"] for r in got), np.float64).reshape(-1, width), [r["l"] for r in got]
+
+
 def fit(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_language: int = 400, order: int = 5) -> Model:
     """Trains on a bounded sample: about ``docs_per_language`` distinct whole texts for each language, picked by a hash of the text.
 
@@ -240,12 +251,18 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", docs_per_language
         rest = rest.filter(~F.col("l").isin(late))
     if not counts:
         return Model([], order)
-    return calibrated(train(counts, order), [(r["t"], r["l"]) for r in rest.collect()])
+    m = train(counts, order)
+    batches_bounded(df.sparkSession)
+    return calibrated(m, *_text_sums(rest, m))
 
 
 def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``_lang`` (the best language or ``und``), ``_score`` (its calibrated probability), ``_entropy`` (nats per character) and
     ``_rejected`` (that entropy exceeds the language's threshold, or there is no letter)."""
+    return beside(df, ["_lang", "_score", "_entropy", "_rejected"], [], lambda inner, name: _predicted(inner, model, name(text)))
+
+
+def _predicted(df: DataFrame, model: Model, text: str) -> DataFrame:
     spark = df.sparkSession
     batches_bounded(spark)
     shared = spark.sparkContext.broadcast(model)  # bounded by the training sample
@@ -255,7 +272,7 @@ def predicted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         width = len(m.languages)
-        memo = worker_memo(m.uid, m.rows)
+        memo = worker_memo(m.uid, lambda: WordMemo(m.rows))
         for batch in batches:
             n = batch.num_rows
             best, score, entropy, known = np.zeros(n, int), np.zeros(n), np.full(n, np.nan), np.zeros(n, bool)

@@ -10,7 +10,7 @@ sums of a distributed table.
 
 Null dimensions form values of their own (``?``); null and empty texts have no tokens, weigh nothing in targets and are taken with their
 cell's probability (1 for a cell without tokens). Rows of equal key are taken or left together. A target for an absent value is shared out
-among the present ones; a present value without a target gets none.
+among the present ones; a present value without a target gets none; where no target names a present value, the dimension is left out.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATORS, Scratch
+from .common import SEPARATORS, Scratch, free
 
 MAX_CELLS = 200_000
 SWEEPS = 50
@@ -68,8 +68,9 @@ def rake(cells: pd.DataFrame, dims: Sequence[str], targets: Mapping[str, Mapping
         code, names = pd.factorize(cells[d], sort=True)
         have = np.bincount(code, x, len(names)) > 0
         want = np.array([targets[d].get(n, 0.0) for n in names]) * have
-        codes.append(code)
-        wanted.append(want / want.sum() if want.sum() else np.bincount(code, x, len(names)))
+        if want.sum():
+            codes.append(code)
+            wanted.append(want / want.sum())
     for _ in range(sweeps):
         off = 0.0
         for code, want in zip(codes, wanted, strict=True):
@@ -101,19 +102,32 @@ def probabilities(share: np.ndarray, n_tokens: np.ndarray, budget: float) -> np.
     return p
 
 
-def _raked_far(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame], sweeps: int, scratch: Scratch) -> DataFrame:
-    """``rake`` for more cells than a driver should hold. ``targets``: tables (value, want). Adds ``share``."""
+def _raked_far(cells: DataFrame, dims: Sequence[str], targets: Mapping[str, DataFrame], sweeps: int, scratch: Scratch, tolerance: float = TOLERANCE) -> DataFrame:
+    """``rake`` for more cells than a driver should hold. ``targets``: tables (value, want). Adds ``share``.
+
+    A dimension's factors are a join of its sums with its targets; what a sum over all values needs is one row.
+    """
     total = cells.agg(F.sum("n_tokens")).head()[0] or 1
-    now = cells.withColumn("share", F.col("n_tokens") / F.lit(float(total)))
+    now = scratch.keep(cells.withColumn("share", F.col("n_tokens") / F.lit(float(total))))
     for _ in range(sweeps):
+        off, wide = [], now
         for d in dims:
-            sums = now.groupBy(d).agg(F.sum("share").alias("_s"))
-            sums = sums.join(targets[d].select(F.col("value").alias(d), "want"), d, "left").withColumn("want", F.when(F.col("_s") > 0, F.coalesce("want", F.lit(0.0))).otherwise(0.0))
-            sums = sums.crossJoin(F.broadcast(sums.agg(F.sum("want").alias("_w")))).select(d, F.when((F.col("_s") > 0) & (F.col("_w") > 0), F.col("want") / F.col("_w") / F.col("_s")).otherwise(0.0).alias("_f"))
-            now = now.join(sums, d).withColumn("share", F.col("share") * F.col("_f")).drop("_f")
-        kept = scratch.keep(now)
-        scratch.drop(now)
-        now = kept
+            sums = wide.groupBy(d).agg(F.sum("share").alias("s"))
+            sums = sums.join(targets[d].select(F.col("value").alias(d), "want"), d, "left").withColumn("want", F.when(F.col("s") > 0, F.coalesce("want", F.lit(0.0))).otherwise(0.0))
+            sums = scratch.keep(sums)
+            all_want = sums.agg(F.sum("want")).head()[0] or 0.0
+            if not all_want:
+                scratch.drop(sums)
+                continue
+            to = F.col("want") / F.lit(all_want)
+            off.append(sums.agg(F.max(F.abs(F.col("s") - to))).head()[0] or 0.0)
+            factor = sums.select(d, F.when(F.col("s") > 0, to / F.col("s")).otherwise(0.0).alias("f"))
+            after = scratch.keep(wide.join(factor, d).withColumn("share", F.col("share") * F.col("f")).drop("f"))
+            scratch.drop(sums, wide)
+            wide = after
+        now = wide
+        if max(off, default=0.0) < tolerance:
+            break
     return now
 
 
@@ -129,55 +143,59 @@ def mixed(
     sweeps: int = SWEEPS,
     max_cells: int = MAX_CELLS,
 ) -> DataFrame:
-    """Adds a struct ``_mix``: the dimensions' values, ``n_tokens``, ``weight`` (mixture share over own share), ``probability`` and ``sampled``.
+    """Adds a struct ``_mix`` (under a free name): the dimensions' values, ``n_tokens``, ``weight`` (mixture share over own share), ``probability`` and ``sampled``.
 
     ``targets`` default to each dimension's token shares to the ``power``. The budget is ``fraction`` of all tokens.
     """
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic(F.col(text))}
-    names = list(dims)
-    at = {d: f"_{d}" for d in names}
-    a = df.withColumns({at[d]: F.coalesce(c.cast("string"), F.lit(UNKNOWN)) for d, c in dims.items()} | {"_n": tokens(F.col(text))})
-    sums = a.groupBy(*at.values()).agg(F.sum("_n").alias("n_tokens"), F.count("*").alias("n_docs"))
+    own = df.columns
+    at: dict[str, str] = {}
+    for d in dims:
+        at[d] = free([*own, *at.values()], f"_{d}")
+    n_, weight_, p_ = (free([*own, *at.values()], c) for c in ("_n", "_weight", "_p"))
+    keys = list(at.values())
+    a = df.withColumns({at[d]: F.coalesce(c.cast("string"), F.lit(UNKNOWN)) for d, c in dims.items()} | {n_: tokens(F.col(text))})
     scratch = Scratch(df.sparkSession)
-    cells = scratch.keep(sums)
-    n = cells.count()
-    if n <= max_cells:
-        c = cells.toPandas().sort_values(list(at.values()), ignore_index=True)
-        full = {at[d]: (targets or {}).get(d) or tempered(c.groupby(at[d])["n_tokens"].sum().to_dict(), power) for d in names}
-        share = rake(c, list(at.values()), full, sweeps)
-        own = c["n_tokens"].to_numpy(np.float64)
-        c["_p"] = probabilities(share, own, fraction * own.sum())
-        c["_weight"] = np.divide(share * own.sum(), own, out=np.zeros(len(c)), where=own > 0)
-        table = df.sparkSession.createDataFrame(c[[*at.values(), "_weight", "_p"]], ", ".join(f"{x} string" for x in at.values()) + ", _weight double, _p double") if len(c) else None
-        if table is None:
-            out = a.withColumns({"_weight": F.lit(0.0), "_p": F.lit(1.0)})
+    cells = scratch.keep(a.groupBy(*keys).agg(F.sum(n_).alias("n_tokens"), F.count("*").alias("n_docs")))
+    if cells.count() <= max_cells:
+        c = cells.toPandas().sort_values(keys, ignore_index=True)
+        full = {at[d]: (targets or {}).get(d) or tempered(c.groupby(at[d])["n_tokens"].sum().to_dict(), power) for d in dims}
+        share = rake(c, keys, full, sweeps)
+        mass = c["n_tokens"].to_numpy(np.float64)
+        c[p_] = probabilities(share, mass, fraction * mass.sum())
+        c[weight_] = np.divide(share * mass.sum(), mass, out=np.zeros(len(c)), where=mass > 0)
+        if len(c):
+            table = df.sparkSession.createDataFrame(c[[*keys, weight_, p_]], ", ".join(f"`{x}` string" for x in keys) + f", `{weight_}` double, `{p_}` double")
+            out = a.join(F.broadcast(table), keys, "left")  # at most ``max_cells`` rows
         else:
-            out = a.join(F.broadcast(table), list(at.values()), "left")  # at most ``max_cells`` rows
+            out = a.withColumns({weight_: F.lit(0.0), p_: F.lit(1.0)})
     else:
         want = {}
-        for d in names:
-            if targets and d in targets:
-                want[at[d]] = df.sparkSession.createDataFrame(list(targets[d].items()), "value string, want double")
+        for d in dims:
+            if targets and targets.get(d):
+                want[at[d]] = df.sparkSession.createDataFrame([(k, float(v)) for k, v in targets[d].items()], "value string, want double")
             else:
                 want[at[d]] = scratch.keep(cells.groupBy(F.col(at[d]).alias("value")).agg(F.sum("n_tokens").alias("s")).select("value", F.pow("s", F.lit(power)).alias("want")))
-        far = _raked_far(cells, list(at.values()), want, sweeps, scratch)
+        far = _raked_far(cells, keys, want, sweeps, scratch)
         total = float(cells.agg(F.sum("n_tokens")).head()[0] or 0)
-        budget, c_ = fraction * total, fraction * total
-        p = F.least(F.lit(1.0), F.lit(c_) * F.col("share") / F.col("n_tokens"))
-        for _ in range(60):  # raise the factor until the expectation meets the budget
-            p = F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.lit(c_) * F.col("share") / F.col("n_tokens"))).otherwise(1.0)
-            got, free = far.agg(F.sum(p * F.col("n_tokens")), F.sum(F.when(p < 1, p * F.col("n_tokens")))).head()
-            if not free or abs(got - budget) <= 1e-9 * budget:
+        budget = factor = fraction * total
+        chance = lambda c: F.when(F.col("n_tokens") > 0, F.least(F.lit(1.0), F.lit(c) * F.col("share") / F.col("n_tokens"))).otherwise(1.0)
+        while True:  # raise the factor until the expectation meets the budget: each turn but the last fills another cell
+            got, open_ = far.agg(F.sum(chance(factor) * F.col("n_tokens")), F.sum(F.when(chance(factor) < 1, chance(factor) * F.col("n_tokens")))).head()
+            if not open_ or abs(got - budget) <= 1e-9 * budget:
                 break
-            c_ *= (budget - (got - free)) / free
-        table = scratch.keep(far.select(*at.values(), F.when(F.col("n_tokens") > 0, F.col("share") * total / F.col("n_tokens")).otherwise(0.0).alias("_weight"), p.alias("_p")))
-        out = a.join(table, list(at.values()), "left")
+            factor *= (budget - (got - open_)) / open_
+        weight = F.when(F.col("n_tokens") > 0, F.col("share") * total / F.col("n_tokens")).otherwise(0.0)
+        table = scratch.keep(far.select(*keys, weight.alias(weight_), chance(factor).alias(p_)))
+        scratch.drop(far, *want.values())
+        out = a.join(table, keys, "left")
+    scratch.drop(cells)
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(key).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    fields = [F.col(at[d]).alias(d) for d in names]
-    mix = F.struct(*fields, F.col("_n").alias("n_tokens"), F.col("_weight").alias("weight"), F.col("_p").alias("probability"), (u < F.col("_p")).alias("sampled"))
-    return out.withColumn("_mix", mix).select(*df.columns, "_mix")
+    fields = [F.col(at[d]).alias(d) for d in dims]
+    mix = F.struct(*fields, F.col(n_).alias("n_tokens"), F.col(weight_).alias("weight"), F.col(p_).alias("probability"), (u < F.col(p_)).alias("sampled"))
+    return out.select(*own, mix.alias(free(own, "_mix")))
 
 
 def sample(df: DataFrame, **options) -> DataFrame:
     """The documents that the calibrated probabilities take, with the columns they came with."""
-    return mixed(df, **options).filter("_mix.sampled").select(*df.columns)
+    return mixed(df, **options).filter(F.col(f"{free(df.columns, '_mix')}.sampled")).select(*df.columns)

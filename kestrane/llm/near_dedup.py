@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_bounded
+from .common import Scratch, batches_bounded, no_memo
 
 BANDS, ROWS = 32, 5
 BAND_BITS = 5  # low bits of a bucket's key: the band
@@ -167,6 +167,7 @@ def _band_keys(sig: np.ndarray) -> np.ndarray:
 
 def _features(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        no_memo()
         for batch in batches:
             n, digest, bands, low = [], [], [], []
             for text in batch.column("t"):

@@ -27,9 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_bounded, pieces
+from .common import Scratch, batches_bounded, beside, pieces, worker_memo
 
-BITS, SIDE, EMBED, HIDDEN = 9, 3, 12, 48
+BITS, SIDE, EMBED, HIDDEN = 9, 3, 8, 32
 CLASSES = 1 << BITS  # bytes, then characters
 CHARS = CLASSES - 256
 MASK, EDGE = 0xFF, 0xFE  # no byte of UTF-8: what is hidden, and what stands beyond a text's ends
@@ -242,7 +242,7 @@ def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 2_000
     return df.select(F.col(text).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def fit(df: DataFrame, text: str = "text", rounds: int = 3, rate: float = 0.01) -> Model:
+def fit(df: DataFrame, text: str = "text", rounds: int = 2, rate: float = 0.01) -> Model:
     """Trains on the whole corpus."""
     spark = df.sparkSession
     batches_bounded(spark)
@@ -315,11 +315,12 @@ class Known:
         return out
 
 
-_known: dict[str, Known] = {}
-
-
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``_n_chars`` (predicted characters), ``_log_likelihood`` (their summed log-probabilities) and ``_per_char``."""
+    return beside(df, ["_n_chars", "_log_likelihood", "_per_char"], [], lambda inner, name: _scored(inner, model, name(text)))
+
+
+def _scored(df: DataFrame, model: Model, text: str) -> DataFrame:
     spark = df.sparkSession
     batches_bounded(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
@@ -328,10 +329,7 @@ def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
         coder = Coder(m.chars)
-        if m.uid not in _known:
-            _known.clear()
-            _known[m.uid] = Known(m.network)
-        known = _known[m.uid]
+        known = worker_memo(m.uid, lambda: Known(m.network))
         for whole in batches:
             for batch in pieces(whole, text, PIECE):
                 texts = [x.as_py() or "" for x in batch.column(text)]

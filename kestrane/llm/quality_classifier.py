@@ -4,8 +4,12 @@ A linear model over a text's word shapes, hashed words and repetition is trained
 ``prior * E_p[loss(f)] + max(0, E_u[loss(-f)] - prior * E_p[loss(-f)])`` with logistic loss, from trusted positives, unlabelled
 texts and an estimated class prior. The negative part never goes below zero: where a batch would push it there, the step is reversed.
 
-The model is fitted on a bounded sample (``positives`` and ``unlabelled`` rows at most, about); every text is scored whole. As the model
-is linear in word counts, a word's share of the score is computed once for each distinct word that a worker meets.
+The prior is estimated from positives and unlabelled texts alone. Half of them trains a discriminator between the two; on the other half
+the share of unlabelled texts over the share of positives above a score is, at its least over all scores, the prior, since what scores
+highest is positive. The score is chosen where a confidence bound is least.
+
+The model is fitted on a bounded sample: about ``positives`` texts labelled 1 and ``unlabelled`` texts without regard to labels, one for each
+id (documented bounds, both of them); every text is scored whole. As the model is linear in word counts, a word's share of the score is computed once for each distinct word that a worker meets.
 Null and empty texts have no words and get the score of the bare model, between 0 and 1. Equal texts get equal scores.
 """
 
@@ -24,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, batches_bounded, hash_share, worker_memo
+from .common import WordMemo, batches_bounded, beside, hash_share, worker_memo
 
 SHAPES, WORDS, LENGTHS, SHARES = 256, 512, 6, 10
 CELLS = (LENGTHS + 1) * (SHARES + 1)
@@ -129,23 +133,52 @@ def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: in
     return Model(w * scale, float(b), prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 5, epochs: int = 60, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from both alone: mean over two halves that swap roles. 0.5 without data."""
+    if min(len(positive), len(unlabelled)) < 4:
+        return 0.5
+    rng = np.random.default_rng(seed)
+    ps, us = np.array_split(rng.permutation(len(positive)), 2), np.array_split(rng.permutation(len(unlabelled)), 2)
+    found = []
+    for i in (0, 1):
+        a, b = positive[ps[i]], unlabelled[us[i]]
+        x = np.concatenate([a, b]) * np.sqrt(WIDTH) / 4
+        y = np.r_[np.ones(len(a)), np.zeros(len(b))]
+        share = np.where(y == 1, 0.5 / len(a), 0.5 / len(b))
+        w, c = np.zeros(WIDTH), 0.0
+        m, v = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
+        for step in range(1, epochs + 1):
+            g = share * (1 / (1 + np.exp(-np.clip(x @ w + c, -30, 30))) - y)
+            grad = np.r_[x.T @ g + 1e-4 * w, g.sum()]
+            m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+            move = 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            w, c = w - move[:-1], c - move[-1]
+        p, u = np.sort(positive[ps[1 - i]] @ w), np.sort(unlabelled[us[1 - i]] @ w)
+        at = np.unique(p)
+        over_p, over_u = 1 - np.searchsorted(p, at) / len(p), 1 - np.searchsorted(u, at) / len(u)
+        margin = np.sqrt(np.log(4 / doubt) / 2) * (len(p) ** -0.5 + len(u) ** -0.5)
+        best = int(np.argmin((over_u + margin) / over_p))
+        found.append(float(over_u[best] / over_p[best]))
+    return float(np.mean(found))
+
+
 def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", positives: int = 3000, unlabelled: int = 6000) -> Model:
     """Fits on rows of ``df`` with labels of ``labels`` (both already restricted to what may be learnt from; labels of other rows don't count).
 
-    Positives: about so many rows labelled 1; unlabelled: about so many rows of ``df``, whatever their labels. Both are picked by a hash of
-    the key. The prior is the share of 1 among the labels of ``df``'s rows. The ids of positives are bounded by the parameter, so they are broadcast.
+    Positives: about so many ids labelled 1; unlabelled: about so many ids of ``df``, whatever their labels. Both are picked by a hash of the
+    key; of rows of equal id the least text counts, so a key with very many rows is one text. No label but 1 is used. The ids of positives
+    are bounded by the parameter, so they are broadcast.
     """
-    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull()).join(df.select(key), key, "left_semi")
-    n, ones = known.agg(F.count("*"), F.sum((F.col(label) == 1).cast("long"))).head()
-    ones = ones or 0
+    known = labels.filter((F.col(label) == 1) & F.col(key).isNotNull()).select(F.col(key).alias("_id")).distinct()
+    own = df.select(F.col(key).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    ones = known.join(own.select("_id"), "_id", "left_semi").count()
     if not ones:
         return Model(np.zeros(WIDTH), 0.0, 0.5)
-    prior = min(max(ones / n, 0.01), 0.99)
     total = df.count()
-    ids = known.filter((F.col(label) == 1) & (hash_share(F.col(key), F.lit(3)) < positives / ones)).select(F.col(key).alias("_id"), F.lit(1).alias("_one")).distinct()
-    u = hash_share(F.col(key), F.lit(4)) < unlabelled / max(total, 1)
-    picked = df.select(F.col(key).alias("_id"), F.col(text).alias("t"), u.alias("_u")).join(F.broadcast(ids), "_id", "left")
-    picked = picked.filter("_one is not null or _u").select("t", F.coalesce("_one", F.lit(0)).alias("one"), F.coalesce("_u", F.lit(False)).alias("u"))
+    ids = known.filter(hash_share(F.col("_id"), F.lit(3)) < positives / ones).withColumn("_one", F.lit(1))
+    u = hash_share(F.col("_id"), F.lit(4)) < unlabelled / max(total, 1)
+    picked = own.withColumn("u", u).join(F.broadcast(ids), "_id", "left").filter("_one is not null or u")
+    picked = picked.groupBy("_id").agg(F.min("t").alias("t"), F.max(F.coalesce("_one", F.lit(0))).alias("one"), F.max("u").alias("u"))
     batches_bounded(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,18 +192,23 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
     raw = rows.column("x").to_pylist()
     order = np.array(sorted(range(len(raw)), key=raw.__getitem__), int)  # an order that no scheduling changes
     x, one, in_u = x[order], np.array(rows.column("one").to_pylist())[order], np.array(rows.column("u").to_pylist(), bool)[order]
+    prior = min(max(estimated_prior(x[one == 1], x[in_u]), 0.01), 0.99)
     return train(x[one == 1], x[in_u], prior)
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Adds ``_score``: the probability of quality, from the whole text."""
+    return beside(df, ["_score"], [], lambda inner, name: _scored(inner, model, name(text)))
+
+
+def _scored(df: DataFrame, model: Model, text: str) -> DataFrame:
     spark = df.sparkSession
     batches_bounded(spark)
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        memo = worker_memo(m.uid, m.word_scores)
+        memo = worker_memo(m.uid, lambda: WordMemo(m.word_scores))
         for batch in batches:
             s = m.scores([x.as_py() or "" for x in batch.column(text)], memo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "_score"])

@@ -2,7 +2,7 @@ r"""Quality rules: a table of thresholds compiled into one projection of built-i
 
 Words are maximal runs of ``[^\x20\x09-\x0D]``. A null or empty text has no words, zero counts and fails the base rule.
 Repeated rows are judged alike, row by row. Columns of the input stay unless ``columns`` picks some; measures come in
-columns of the prefix ``_q_``, so that columns of the input don't clash with them.
+columns of the prefix ``_q_``. A column of the input that has such a name stays, and the measure gets underscores after its own.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SEPARATOR_RUN, SEPARATORS
+from .common import SEPARATOR_RUN, SEPARATORS, beside, free
 
 SYMBOLS = "#*$%&|<>"
 
@@ -54,7 +54,16 @@ RULES = (
 )
 
 
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_marks", "n_stop_words", "n_lines", "n_dup_lines", "n_bullet_lines", "n_ellipsis_lines", "n_repeat_words")
+_USED = ("_t", "_w", "_l", "_k", "_h", "_s", "_x", "_row")
+
+
 def measured(df: DataFrame, text: str = "text") -> DataFrame:
+    """Adds ``_q_*``: the counts that rules are made of."""
+    return beside(df, [Q + c for c in COUNTS], _USED, lambda inner, name: _measured(inner, name(text)))
+
+
+def _measured(df: DataFrame, text: str) -> DataFrame:
     """Adds ``_q_*``: the counts that rules are made of. They are columns of their own, not fields of a struct, because the optimiser
     copies a struct's expressions to wherever its fields are used.
 
@@ -152,8 +161,12 @@ def failed_rules(rules: tuple[Rule, ...] = RULES) -> Column:
 
 def judged(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Adds ``_q_*`` (the counts) and ``_failed`` (names of broken rules; ``base`` first if the base rule is broken)."""
+    return beside(df, [*(Q + c for c in COUNTS), "_failed"], _USED, lambda inner, name: _judged(inner, name(text), rules))
+
+
+def _judged(df: DataFrame, text: str, rules: tuple[Rule, ...]) -> DataFrame:
     base = F.when(base_failed(), F.array(F.lit("base"))).otherwise(F.array().cast("array<string>"))
-    return measured(df, text).withColumn("_failed", F.concat(base, failed_rules(rules)))
+    return _measured(df, text).withColumn("_failed", F.concat(base, failed_rules(rules)))
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -162,6 +175,7 @@ def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES
     The optimiser would move the filter below the projections and so copy each measure's expression into it many times over; a row
     number, which no filter may pass, holds it above them.
     """
-    names = df.columns
-    out = judged(df, text, rules).withColumn("_row", F.monotonically_increasing_id())
-    return out.filter((F.size("_failed") == 0) & (F.col("_row") >= 0)).select(*names)
+    row = free(df.columns, "_row")
+    failed = F.col(free(df.columns, "_failed"))
+    out = judged(df, text, rules).withColumn(row, F.monotonically_increasing_id())
+    return out.filter((F.size(failed) == 0) & (F.col(row) >= 0)).select(*["`" + c.replace("`", "``") + "`" for c in df.columns])

@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import beside, free
+
 #: Primes of about 250 slots for each of so many shards.
 SIZES = (251, 1021, 4093, 16381, 65521, 262139, 1048573)
 NULL_KEY = "\\N"
@@ -65,8 +67,11 @@ def slot_of(key: Column, size: int) -> Column:
 
 def placed(df: DataFrame, key: str, shards: Sequence[str], size: int | None = None, weights: Sequence[int] | None = None, prefix: str = "") -> DataFrame:
     """Adds ``slot`` and ``shard`` (the number in ``shards``), with ``prefix`` before both names. One broadcast join, no shuffle of the rows."""
-    table = lookup_table(shards, size, weights)
-    slot, shard = f"{prefix}slot", f"{prefix}shard"
+    table, added = lookup_table(shards, size, weights), [f"{prefix}slot", f"{prefix}shard"]
+    return beside(df, added, ["_table_slot", "_table_shard"], lambda inner, name: _placed(inner, name(key), table, *added))
+
+
+def _placed(df: DataFrame, key: str, table: list[int], slot: str, shard: str) -> DataFrame:
     numbers = ",".join(map(str, table))
     lookup = df.sparkSession.range(1, numPartitions=1).select(F.posexplode(F.split(F.lit(numbers), ",")).alias("_table_slot", "_table_shard"))
     lookup = lookup.select("_table_slot", F.col("_table_shard").cast("int").alias(shard))
@@ -75,6 +80,6 @@ def placed(df: DataFrame, key: str, shards: Sequence[str], size: int | None = No
 
 def write_shards(df: DataFrame, path: str, key: str, shards: Sequence[str], files: int = 1) -> None:
     """Writes a folder for each shard with ``files`` parts each; a shard's rows are dealt over its parts by the key's hash."""
-    out = placed(df, key, shards, prefix="_")
+    slot, shard = free(df.columns, "_slot"), free(df.columns, "_shard")
     part = F.pmod(F.xxhash64(F.col(key)), F.lit(files))
-    out.repartition(len(shards) * files, "_shard", part).drop("_slot").write.partitionBy("_shard").parquet(path)
+    placed(df, key, shards, prefix="_").repartition(len(shards) * files, shard, part).drop(slot).write.partitionBy(shard).parquet(path)

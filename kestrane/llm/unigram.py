@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIndex, batches_bounded
+from .common import WordIndex, batches_bounded, beside, worker_memo
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -295,25 +295,26 @@ class Encoder:
 
 
 class _Memo:
-    """Ids by distinct part, as one array with offsets; begins anew beyond ``limit`` parts."""
+    """Ids by distinct part, as one array with offsets; begins anew beyond ``limit`` parts or ``size`` characters of them."""
 
-    def __init__(self, encoder: Encoder, limit: int = 400_000):
-        self.encoder, self.limit = encoder, limit
+    def __init__(self, encoder: Encoder, limit: int = 300_000, size: int = 16 << 20):
+        self.encoder, self.limit, self.size = encoder, limit, size
         self.clear()
 
     def clear(self) -> None:
         self.index = WordIndex()
         self.ids, self.ends = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
-        self.n = 0  # parts known
+        self.n = self.held = 0  # parts known, their characters
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's begin (one more entry at the end)."""
-        if len(self.index) > self.limit:
+        if len(self.index) > self.limit or self.held > self.size:
             self.clear()
         parts = [self.encoder.parts(t) for t in texts]
         counts = np.array([len(p) for p in parts], np.int64)
         numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(parts)), np.int64, int(counts.sum()))
         if fresh := self.index.take():
+            self.held += sum(map(len, fresh))
             found = self.encoder.segment([self.encoder.raw(p) for p in fresh])
             ends = self.ends[self.n] + np.cumsum([len(f) for f in found])
             while self.n + len(found) + 1 > len(self.ends):
@@ -329,9 +330,6 @@ class _Memo:
         return out, total[np.cumsum(np.r_[0, counts])]
 
 
-_memos: dict[str, _Memo] = {}
-
-
 def load(spark: SparkSession, path: str, scores: str = "zipf") -> Encoder:
     """The encoder of a model file on the driver's disk (a published vocabulary of fixed size), or of one that only Spark can read."""
     try:
@@ -344,6 +342,10 @@ def load(spark: SparkSession, path: str, scores: str = "zipf") -> Encoder:
 
 def encoded(df: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
     """Adds ``_ids`` (array of int) and ``_decoded`` (what they decode to)."""
+    return beside(df, ["_ids", "_decoded"], [], lambda inner, name: _encoded(inner, encoder, name(text)))
+
+
+def _encoded(df: DataFrame, encoder: Encoder, text: str) -> DataFrame:
     spark = df.sparkSession
     batches_bounded(spark)
     shared = spark.sparkContext.broadcast(encoder)  # the vocabulary: a fixed size
@@ -351,10 +353,7 @@ def encoded(df: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e: Encoder = shared.value
-        if e.uid not in _memos:
-            _memos.clear()
-            _memos[e.uid] = _Memo(e)
-        memo = _memos[e.uid]
+        memo = worker_memo(e.uid, lambda: _Memo(e))
         for batch in batches:
             ids, ends = memo.encode([x.as_py() or "" for x in batch.column(text)])
             back = [e.decode(ids[s:t].tolist()) for s, t in zip(ends[:-1], ends[1:], strict=True)]
@@ -366,6 +365,10 @@ def encoded(df: DataFrame, encoder: Encoder, text: str = "text") -> DataFrame:
 
 def decoded(df: DataFrame, encoder: Encoder, ids: str = "ids", out: str = "text") -> DataFrame:
     """Adds the text of each row's pieces; null ids decode to the empty text."""
+    return beside(df, [out], [], lambda inner, name: _decoded(inner, encoder, name(ids), out))
+
+
+def _decoded(df: DataFrame, encoder: Encoder, ids: str, out: str) -> DataFrame:
     spark = df.sparkSession
     batches_bounded(spark)
     shared = spark.sparkContext.broadcast(encoder)
