@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kestrane.llm import mixing, near_dedup, quality_classifier, quality_rules, unigram
-from kestrane.llm.common import Scratch, crc_mod, table
+from kestrane.llm.common import Scratch, crc_mod, free, table
 from kestrane.llm.queries import PIECES
 
 #: Share of the tokens that the mixture keeps: documents of overrepresented cells go, by calibrated probabilities.
@@ -27,7 +27,7 @@ def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str)
     names = docs.columns
     learn = crc_mod(F.col("doc_id"), 3) != 1
     model = quality_classifier.fit(docs.filter(learn).select("doc_id", "text"), table(spark, sf_dir, "labels").filter(learn))
-    return quality_classifier.scored(docs, model).filter("_score >= 0.5").select(*names)
+    return quality_classifier.scored(docs, model).filter(F.col(free(names, "_score")) >= 0.5).select(*names)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
