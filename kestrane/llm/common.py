@@ -6,6 +6,7 @@ Operators that add columns keep all columns they get. Where the name of an added
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -50,7 +51,7 @@ def beside(df: DataFrame, added: Sequence[str], used: Sequence[str], work: Calla
     return out.select(*[quoted(moved.get(c, c)).alias(c) for c in df.columns], *[quoted(c).alias(free(df.columns, c)) for c in added])
 
 
-def batches_bounded(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+def batches_bounded(spark: SparkSession, rows: int = 2000, size: int = 2 << 20) -> None:
     """Arrow batches hold a bounded number of rows and bytes (one longer row stands alone), so that a Python worker's memory follows neither
     the row count nor the length of texts. The settings stay lower for the session, as plans read them when they run."""
     conf = spark.conf
@@ -132,7 +133,7 @@ class WordMemo:
     (between batches, which are bounded in bytes), so its memory is bounded; results don't depend on it.
     """
 
-    def __init__(self, rows_of: Callable[[list], np.ndarray], limit: int = 300_000, size: int = 16 << 20):
+    def __init__(self, rows_of: Callable[[list], np.ndarray], limit: int = 200_000, size: int = 8 << 20):
         self.rows_of, self.limit, self.size = rows_of, limit, size
         self.clear()
 
@@ -180,6 +181,30 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         yield batch.slice(start)
 
 
+M_MMAP_THRESHOLD = -3  # of mallopt
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A worker's function that gives memory back: arrays beyond a size get pages of their own, and what a task has freed is returned at its
+    end. Workers live on between tasks, and an executor's limit counts the idle ones, too."""
+
+    def inner(batches: Iterator) -> Iterator:
+        libc = None
+        try:
+            libc = ctypes.CDLL("libc.so.6")
+            libc.mallopt(M_MMAP_THRESHOLD, 1 << 18)
+        except (OSError, AttributeError):  # another C library: nothing to tune
+            pass
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return inner
+
+
 _memos: dict[str, object] = {}
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches_bounded, beside
+from .common import batches_bounded, beside, lean
 
 ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", np.uint8)
 LENGTH = 64  # of a signature at most, with the last chunk's character
@@ -127,7 +127,7 @@ def _fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
             found = [fingerprint((x.as_py() or "").encode()) for x in batch.column(text)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def _range_of(key: str, cuts: list[int]) -> Column:
@@ -190,4 +190,4 @@ def with_next(df: DataFrame, key: str, text: str, schema: str, use: Callable[[ob
 
     spark_schema = spark.createDataFrame([], schema).schema
     pa_schema = to_arrow_schema(spark_schema)
-    return b.mapInArrow(run, spark_schema)
+    return b.mapInArrow(lean(run), spark_schema)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, batches_bounded, beside, hash_share, worker_memo
+from .common import WordMemo, batches_bounded, beside, hash_share, lean, worker_memo
 
 UNKNOWN = "und"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -217,7 +217,7 @@ def _text_sums(rows: DataFrame, m: Model) -> tuple[np.ndarray, list[str]]:
             s = memo.sums([letter_runs(x.as_py()) for x in batch.column("t")], width)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in s], pa.binary()), batch.column("l")], names=["s", "l"])
 
-    got = sorted(rows.select("t", F.col("l").cast("string").alias("l")).mapInArrow(run, "s binary, l string").collect())
+    got = sorted(rows.select("t", F.col("l").cast("string").alias("l")).mapInArrow(lean(run), "s binary, l string").collect())
     return np.frombuffer(b"".join(r["s"] for r in got), np.float64).reshape(-1, width), [r["l"] for r in got]
 
 
@@ -289,4 +289,4 @@ def _predicted(df: DataFrame, model: Model, text: str) -> DataFrame:
             own = [langs, score, pa.array(entropy, from_pandas=True), [bool(x) for x in out]]
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, t) if not isinstance(v, pa.Array) else v for v, (_, t) in zip(own, more, strict=True))], names=[*batch.schema.names, *(k for k, _ in more)])
 
-    return df.mapInArrow(run, df.select("*", *kinds).schema)
+    return df.mapInArrow(lean(run), df.select("*", *kinds).schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_bounded, no_memo
+from .common import Scratch, batches_bounded, lean, no_memo
 
 BANDS, ROWS = 32, 5
 BAND_BITS = 5  # low bits of a bucket's key: the band
@@ -183,7 +183,7 @@ def _features(docs: DataFrame, width: int) -> DataFrame:
                 names=["id", "n", "digest", "low", "bands"],
             )
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, low binary, bands array<long>")
+    return docs.mapInArrow(lean(run), f"id {docs.schema['id'].dataType.simpleString()}, n long, digest binary, low binary, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -194,7 +194,7 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
             sets = [shingles(t.as_py(), width) for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["digest", "elements"])
 
-    return docs.mapInArrow(run, "digest binary, elements binary")
+    return docs.mapInArrow(lean(run), "digest binary, elements binary")
 
 
 class Members:
@@ -289,7 +289,7 @@ def _links(rows: DataFrame, percent: int, least: np.ndarray, once: bool) -> Data
             if a:
                 yield pa.RecordBatch.from_arrays([m.id.take(pa.array(a)), m.id.take(pa.array(b))], names=["a", "b"])
 
-    return rows.mapInArrow(run, f"a {kind}, b {kind}")
+    return rows.mapInArrow(lean(run), f"a {kind}, b {kind}")
 
 
 def _likely(rows: DataFrame, percent: int, least: np.ndarray) -> DataFrame:
@@ -304,7 +304,7 @@ def _likely(rows: DataFrame, percent: int, least: np.ndarray) -> DataFrame:
             if len(at):
                 yield pa.RecordBatch.from_arrays([pa.array(v[at]) for v in (m.key, m.x, m.y, m.side, m.c)], names=["key", "x", "y", "side", "c"])
 
-    return rows.mapInArrow(run, "key long, x long, y long, side long, c long")
+    return rows.mapInArrow(lean(run), "key long, x long, y long, side long, c long")
 
 
 def _together(rows: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, batches_bounded, beside, pieces, worker_memo
+from .common import Scratch, batches_bounded, beside, lean, pieces, worker_memo
 
 BITS, SIDE, EMBED, HIDDEN = 9, 3, 8, 32
 CLASSES = 1 << BITS  # bytes, then characters
@@ -58,7 +58,7 @@ def alphabet(df: DataFrame, text: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["c", "n"])
 
-    found = df.select(F.col(text).alias("t")).mapInArrow(count, "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    found = df.select(F.col(text).alias("t")).mapInArrow(lean(count), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "c").limit(CHARS).collect()
     return np.array([r["c"] for r in top], np.int64)
 
@@ -239,7 +239,7 @@ def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 2_000
         if held:
             yield from rows(*summed(held))
 
-    return df.select(F.col(text).alias("t")).mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    return df.select(F.col(text).alias("t")).mapInArrow(lean(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text: str = "text", rounds: int = 2, rate: float = 0.01) -> Model:
@@ -285,7 +285,7 @@ def fit(df: DataFrame, text: str = "text", rounds: int = 2, rate: float = 0.01)
 
         # the order within a part is one that no scheduling changes, and unlike that of the codes
         dealt = counts.repartition(parts, F.xxhash64("code")).sortWithinPartitions(F.xxhash64("code", F.lit(1)), "code")
-        got = sorted(dealt.mapInArrow(local, "w double, x binary").collect(), key=lambda r: r["x"])  # a row of fixed size for each part
+        got = sorted(dealt.mapInArrow(lean(local), "w double, x binary").collect(), key=lambda r: r["x"])  # a row of fixed size for each part
         all_w = sum(r["w"] for r in got)
         flat = sum(np.frombuffer(r["x"], np.float32).astype(np.float64) * (r["w"] / all_w) for r in got).astype(np.float32)
         ends = np.cumsum([a.size for a in net.arrays()])
@@ -340,4 +340,4 @@ def _scored(df: DataFrame, model: Model, text: str) -> DataFrame:
                     score[full] = np.add.reduceat(known.logs(codes).astype(np.float64), starts[full])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(score), pa.array(score / np.maximum(n, 1))], names=[*batch.schema.names, "_n_chars", "_log_likelihood", "_per_char"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordMemo, batches_bounded, beside, hash_share, worker_memo
+from .common import WordMemo, batches_bounded, beside, hash_share, lean, worker_memo
 
 SHAPES, WORDS, LENGTHS, SHARES = 256, 512, 6, 10
 CELLS = (LENGTHS + 1) * (SHARES + 1)
@@ -187,7 +187,7 @@ def fit(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text
             x = vectors([t.as_py() or "" for t in batch.column("t")], memo)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), batch.column("one"), batch.column("u")], names=["x", "one", "u"])
 
-    rows = picked.mapInArrow(run, "x binary, one int, u boolean").toArrow()
+    rows = picked.mapInArrow(lean(run), "x binary, one int, u boolean").toArrow()
     x = np.frombuffer(b"".join(rows.column("x").to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
     raw = rows.column("x").to_pylist()
     order = np.array(sorted(range(len(raw)), key=raw.__getitem__), int)  # an order that no scheduling changes
@@ -213,4 +213,4 @@ def _scored(df: DataFrame, model: Model, text: str) -> DataFrame:
             s = m.scores([x.as_py() or "" for x in batch.column(text)], memo)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64())], names=[*batch.schema.names, "_score"])
 
-    return df.mapInArrow(run, df.select("*", F.lit(0.0).alias("_score")).schema)
+    return df.mapInArrow(lean(run), df.select("*", F.lit(0.0).alias("_score")).schema)

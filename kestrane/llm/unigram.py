@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordIndex, batches_bounded, beside, worker_memo
+from .common import WordIndex, batches_bounded, beside, lean, worker_memo
 
 MARK = "▁"
 _MARK = MARK.encode()
@@ -297,7 +297,7 @@ class Encoder:
 class _Memo:
     """Ids by distinct part, as one array with offsets; begins anew beyond ``limit`` parts or ``size`` characters of them."""
 
-    def __init__(self, encoder: Encoder, limit: int = 300_000, size: int = 16 << 20):
+    def __init__(self, encoder: Encoder, limit: int = 200_000, size: int = 8 << 20):
         self.encoder, self.limit, self.size = encoder, limit, size
         self.clear()
 
@@ -360,7 +360,7 @@ def _encoded(df: DataFrame, encoder: Encoder, text: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, lists, pa.array(back, pa.string())], names=[*batch.schema.names, "_ids", "_decoded"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
 
 
 def decoded(df: DataFrame, encoder: Encoder, ids: str = "ids", out: str = "text") -> DataFrame:
@@ -378,4 +378,4 @@ def _decoded(df: DataFrame, encoder: Encoder, ids: str, out: str) -> DataFrame:
             back = [shared.value.decode(x.as_py() or []) for x in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(back, pa.string())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, df.select("*", F.lit("").alias(out)).schema)
+    return df.mapInArrow(lean(run), df.select("*", F.lit("").alias(out)).schema)
