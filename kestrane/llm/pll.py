@@ -117,6 +117,13 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(1, keepdims=True))
 
 
+def _log_softmax_at(z: np.ndarray, i: np.ndarray) -> np.ndarray:
+    """One value of each row, without the others'."""
+    z -= z.max(1, keepdims=True)
+    own = z[np.arange(len(z)), i]
+    return own - np.log(np.exp(z, out=z).sum(1))
+
+
 @dataclass
 class Network:
     """``embed``: (6, classes, EMBED); ``inner``: (6 * EMBED, HIDDEN); ``outer``: (HIDDEN, HEAD + 1); ``rest``: (HIDDEN, classes - HEAD)."""
@@ -146,13 +153,18 @@ class Network:
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """The log-probability of each window's middle given its neighbours."""
         out = np.empty(len(codes), np.float32)
+        # each neighbour's share of the hidden layer, so that a window's is a sum of six rows
+        shares = [self.embed[k] @ self.inner[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
         for i in range(0, len(codes), 1 << 14):
             near, middle = digits(codes[i : i + (1 << 14)])
-            _, h = self.hidden(near)
+            h = np.take(shares[0], near[:, 0], axis=0) + self.inner_bias
+            for k in range(1, 2 * SIDE):
+                h += np.take(shares[k], near[:, k], axis=0)
+            np.tanh(h, out=h)
             head, at, rest = _levels(middle)
-            own = _log_softmax(h @ self.outer + self.outer_bias)[np.arange(len(h)), head]
+            own = _log_softmax_at(h @ self.outer + self.outer_bias, head)
             if len(at):
-                own[at] += _log_softmax(h[at] @ self.rest + self.rest_bias)[np.arange(len(at)), rest]
+                own[at] += _log_softmax_at(h[at] @ self.rest + self.rest_bias, rest)
             out[i : i + len(own)] = own
         return out
 
@@ -300,18 +312,24 @@ class Known:
     def __init__(self, network: Network):
         self.network = network
         self.codes, self.values = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.float32)
+        self.owner = np.zeros(1 << SLOTS, np.int32)
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
         slot = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
         out = self.values[slot]
         missed = np.flatnonzero(self.codes[slot] != codes)
         if len(missed):
-            new, first, back = np.unique(codes[missed], return_index=True, return_inverse=True)
-            found = self.network.logs(new)
-            out[missed] = found[back]
-            at = slot[missed[first]]
-            self.values[at] = found
-            self.codes[at] = new  # of windows that share a slot both arrays keep the last
+            # of equal windows one is worked out: the last that claimed the slot, or each by itself where another window did
+            own, at, i = codes[missed], slot[missed], np.arange(len(missed), dtype=np.int32)
+            self.owner[at] = i
+            of = self.owner[at]
+            same = own[of] == own
+            new = np.flatnonzero((of == i) | ~same)
+            found = np.empty(len(own), np.float32)
+            found[new] = self.network.logs(own[new])
+            out[missed] = np.where(same, found[of], found)
+            self.values[at[new]] = found[new]
+            self.codes[at[new]] = own[new]  # of windows that share a slot both arrays keep the last
         return out
 
 
