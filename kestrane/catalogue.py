@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 from .functions import text as T
 from .functions import vectors as V
 from .operators import filters, graph, graph_retrieval, hybrid, knn, records, text_index
-from .plans.planner import Catalogue, Planner
+from .plans.planner import Catalogue, Planner, Store
+from .session import kept, scratch_path
 from .sources import records_io
 from .streaming import ingest
 from .tables import EDGES_SQL, edges, embeddings, labelled_records, load, nodes
@@ -153,7 +152,16 @@ def text_index_repair(spark: SparkSession, sf: str) -> DataFrame:
     return text_index.repaired(p, damaged).groupBy("repair").agg(F.count("*").alias("n"))
 
 
-@query()
+_BLANKS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
+_MARKED = rf"regexp_replace({{}}, '({T.any_form('ther')}|{T.any_form('tion')})', '<strong>\1</strong>', 'g')"
+
+
+@query(
+    f"""WITH p AS (SELECT doc_id::VARCHAR AS key, text AS t, greatest(strpos(translate(text, '{T.FOLD_FROM}', '{T.FOLD_TO}'), 'ther'), 1) AS place FROM documents),
+w AS (SELECT key, t, greatest(place - 48, 1) AS b, least(place + 4 + 72, length(t) + 1) AS e FROM p)
+SELECT key, CASE WHEN strlen(t) <= 120 THEN {_MARKED.format('t')} ELSE CASE WHEN b > 1 THEN '...' ELSE '' END
+  || {_MARKED.format(f"regexp_replace(substring(t, b, e - b), '{_BLANKS}', '', 'g')")} || CASE WHEN e <= length(t) THEN '...' ELSE '' END END AS snippet FROM w"""
+)
 def snippet_basic(spark: SparkSession, sf: str) -> DataFrame:
     own = record_table(spark, sf)
     return own.select("key", T.snippet(F.col("payload"), ["tion", "ther"], highlight=True).alias("snippet"))
@@ -281,6 +289,27 @@ def mmr_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return knn.mmr(embeddings(spark, sf), _vector(spark, sf), 4)
 
 
+def _hadamard(k: int) -> str:
+    """The k-th value by the matrix's definition: signs by the parity of common bits."""
+    return f"round(list_sum(list_transform(range(64), lambda i: e[i + 1] * CASE WHEN bit_count(i & {k}) % 2 = 1 THEN -1 ELSE 1 END)) / 8, 5) AS v{k}"
+
+
+@query(f"WITH {QV} SELECT vec_id, {', '.join(map(_hadamard, (0, 1, 7, 42, 63)))} FROM v")
+def fwht_values(spark: SparkSession, sf: str) -> DataFrame:
+    w = embeddings(spark, sf).select("vec_id", V.fwht(F.col("embedding")).alias("w"))
+    return w.select("vec_id", *[(F.round(F.col("w")[k], 5) + F.lit(0.0)).alias(f"v{k}") for k in (0, 1, 7, 42, 63)])
+
+
+@query(
+    """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT a.vec_id AS query_id, b.vec_id AS key, round(-list_distance(a.e, b.e), 6) AS score
+  FROM v a, v b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key)::INTEGER AS rank FROM s)
+SELECT query_id, key, score, rank FROM r WHERE rank <= 5"""
+)
+def knn_batch_euclidean(spark: SparkSession, sf: str) -> DataFrame:
+    e = embeddings(spark, sf)
+    return knn.batch(e, e.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), 5, metric="euclidean", skip_self=True)
+
+
 @query("SELECT vec_id, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS norm FROM embeddings")
 def fwht_norms(spark: SparkSession, sf: str) -> DataFrame:
     """The transform is orthonormal: it keeps norms."""
@@ -330,6 +359,12 @@ def rrf_adapter_offset(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.fused(*_arms(spark, sf), k=10, offset=0).select("namespace", "key", "rrf_score")
 
 
+@query(f"{ARMS} SELECT namespace, key, round(sum(1.0 / (61 + place)), 6) AS score FROM a GROUP BY namespace, key ORDER BY score DESC, key, namespace LIMIT 10")
+def search_request(spark: SparkSession, sf: str) -> DataFrame:
+    """A request with a text and a vector takes the hybrid route."""
+    return hybrid.search(_with_vectors(spark, sf), WORDS, _vector(spark, sf), 10).select("namespace", "key", "score")
+
+
 @query(f"{ARMS} SELECT (SELECT count(*) FROM t) AS text_candidates, (SELECT count(*) FROM u) AS vector_candidates, (SELECT count(*) FROM (SELECT DISTINCT namespace, key FROM a)) AS fused_candidates, 60 AS rrf_k")
 def fusion_report(spark: SparkSession, sf: str) -> DataFrame:
     return hybrid.fusion_report(*_arms(spark, sf))
@@ -358,8 +393,10 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     e = embeddings(spark, sf)
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("own"))
     ranked = knn.batch(e, q, 10, skip_self=True)
-    judged = q.select("query_id", "own").join(e.select(F.col("vec_id").alias("key"), "label"), F.col("own") == F.col("label")).filter("query_id <> key").select("query_id", "key")
-    return hybrid.quality(ranked, judged, 10)
+    labels = e.select(F.col("vec_id").alias("key"), "label")
+    hits = ranked.join(q.select("query_id", "own"), "query_id").join(labels, "key").filter("own = label").select("query_id", "key")
+    sizes = labels.groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("relevant"))
+    return hybrid.quality(ranked, hits, 10, q.join(sizes, "own").filter("relevant > 0").select("query_id", "relevant"))
 
 
 @query(f"{RANKED} SELECT query_id, ndcg FROM o")
@@ -457,6 +494,20 @@ def delete_by_filter(spark: SparkSession, sf: str) -> DataFrame:
     return records.delete_by_filter(record_table(spark, sf), "en", {"source": "src2"}).select("key", "namespace")
 
 
+@query(
+    """WITH d AS (SELECT lang AS namespace, doc_id::VARCHAR AS key, text AS payload, source FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL), s AS (SELECT * FROM d WHERE namespace IN ('en', 'fr')),
+i AS (SELECT * FROM d WHERE source = 'src1')
+SELECT namespace, key, CASE WHEN i.source IS NULL THEN s.payload ELSE 'new ' || i.source END AS payload, CASE WHEN i.source IS NOT NULL AND s.source IS NOT NULL THEN 2 ELSE 1 END AS version,
+  CASE WHEN s.source IS NULL THEN 2 ELSE 1 END AS created_at, CASE WHEN i.source IS NULL THEN 1 ELSE 2 END AS updated_at FROM s FULL JOIN i USING (namespace, key)"""
+)
+def put_batch(spark: SparkSession, sf: str) -> DataFrame:
+    """A batch of new payloads over a store: records that were there get a second version, others their first."""
+    own = record_table(spark, sf).filter("namespace is not null and source is not null").select("namespace", "key", "payload", "source")
+    store = own.filter("namespace in ('en', 'fr')").select("namespace", "key", "payload", F.lit(1).alias("version"), F.lit(1).alias("created_at"), F.lit(1).alias("updated_at"))
+    batch = own.filter("source = 'src1'").select("namespace", "key", F.concat(F.lit("new "), "source").alias("payload"))
+    return records.latest(records.put(store, batch, F.lit(2))).select("namespace", "key", "payload", "version", "created_at", "updated_at")
+
+
 TTL = "e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE ts + INTERVAL 7 DAY END AS expires FROM events), x AS (SELECT max(ts) - INTERVAL 3 DAY AS now FROM events)"
 
 
@@ -552,11 +603,8 @@ def transcript_word_count(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"WITH {REC} SELECT namespace, key, n_chars FROM r")
 def export_import_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     """Out as JSON lines and in again."""
-    from .session import kept
-
     own = record_table(spark, sf).select("namespace", "key", "payload", "n_chars")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kestrane-kept"
-    path = f"{root.rstrip('/')}/jsonl-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "jsonl")
     records_io.export_jsonl(own, path)
     good, _ = records_io.import_jsonl(spark, path, own.schema)
     return kept(good.select("namespace", "key", "n_chars"))
@@ -565,8 +613,7 @@ def export_import_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT DISTINCT event_id, event_type, value FROM events) GROUP BY event_type")
 def stream_ingest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """The events as a file stream, repeats dropped, into a table by micro-batch."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/kestrane-kept"
-    path = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "stream")
     schema = load(spark, sf, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
     ingest.upsert(ingest.deduplicated(stream, "event_id", "ts", "3650 days"), f"{path}/out", f"{path}/state", ("event_id",)).awaitTermination()
@@ -574,6 +621,27 @@ def stream_ingest_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return out.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
+def _event_stream(spark: SparkSession, sf: str) -> DataFrame:
+    schema = load(spark, sf, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/events.parquet*")
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windowed(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts by hour and type, kept up by micro-batches."""
+    path = scratch_path(spark, "windowed")
+    ingest.complete(ingest.windowed(_event_stream(spark, sf), "ts", "event_type"), f"{path}/out", f"{path}/state").awaitTermination()
+    return spark.read.parquet(f"{path}/out").select(F.unix_micros("window.start").alias("hour"), "event_type", "n")
+
+
+@query("SELECT user_id::VARCHAR AS key, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY user_id")
+def stream_running_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Custom state by user; the last emission of each counts."""
+    path = scratch_path(spark, "totals")
+    ingest.upsert(ingest.running_totals(_event_stream(spark, sf), "user_id", "value"), f"{path}/out", f"{path}/state", ("key",), mode="update").awaitTermination()
+    return spark.read.parquet(f"{path}/out").groupBy("key").agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"))
+
+
 # --- query language -----------------------------------------------------------------------------------------------------------------
 
 
@@ -621,6 +689,36 @@ language('FROM vectors WHERE label = 3 AND embedding ~ "7", min = 0.05 FETCH vec
 language('FROM vectors WHERE embedding ~ "7", min = 0.1 FETCH vec_id', f"WITH {QV}, t AS (SELECT vec_id, {COS} AS s FROM v, q ORDER BY s DESC, vec_id LIMIT 5) SELECT vec_id FROM t WHERE s >= 0.1", "ql_vector_search")
 
 
+@query("SELECT 'N:' || n_nationkey AS id FROM nation WHERE n_nationkey BETWEEN 1 AND 3")
+def ql_hot_walk(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten levels are asked for along a chain of nations; a high temperature stops at the third."""
+    n = load(spark, sf, "nation").select(F.concat(F.lit("N:"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_nationkey").alias("k"))
+    chain = n.select(F.col("id").alias("src"), F.concat(F.lit("N:"), (F.col("k") + 1).cast("string")).alias("dst"), F.lit("next").alias("label"), F.lit(1.0).alias("weight"), F.lit(False).alias("reverse"))
+    own = Catalogue({"first": n.filter("k = 0")}, {}, chain, nodes(spark, sf))
+    return Planner(own).run('MATCH first SIGUE 1..10 "next" TYPE nation WITH TEMPERATURE 0.9').select("id")
+
+
+@query("SELECT doc_id FROM labels WHERE NOT coalesce(quality = 0 AND doc_id % 10 < 4, false)")
+def ql_low_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    """Summaries whose confidence is too low are skipped."""
+    kind = F.when(F.col("quality") == 0, "SemanticSummary").otherwise("note")
+    notes = load(spark, sf, "labels").select("doc_id", kind.alias("type"), ((F.col("doc_id") % 10) / 10).alias("confidence"))
+    return Planner(Catalogue({"notes": notes})).run("FROM notes FETCH doc_id")
+
+
+@query(
+    """SELECT * FROM (VALUES ('node', '1', 't', 'y'), ('node', '3', 'u', NULL), ('edge', '1', '3', 'knows'), ('edge', '3', '1', 'knows'))
+AS x(kind, a, b, c)"""
+)
+def ql_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes inserted, updated, related and deleted by statements; a deleted node takes its edges with it."""
+    store = Store.empty(spark)
+    for text in ('INSERT NODE#1 TYPE t {a: "x"}', "INSERT NODE#2 TYPE t {}", "INSERT NODE#3 TYPE u {}", 'RELATE NODE#1 --"knows"--> NODE#2', 'RELATE NODE#1 --"knows"--> NODE#3 WEIGHT 0.5', 'UPDATE NODE#1 SET a = "y"', "DELETE NODE#2"):
+        store.apply(text)
+    own = store.nodes.select(F.lit("node").alias("kind"), F.col("id").alias("a"), F.col("type").alias("b"), F.col("fields")["a"].alias("c"))
+    return own.unionByName(store.edges.select(F.lit("edge").alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("label").alias("c")))
+
+
 # --- graph --------------------------------------------------------------------------------------------------------------------------
 
 ROOTS = ["C:1", "C:2", "S:3"]
@@ -685,12 +783,13 @@ def is_dag(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1, numPartitions=1).select(F.lit(a).alias("forward_acyclic"), F.lit(b).alias("with_loop_acyclic"))
 
 
-def pagerank_sql(rounds: int) -> str:
-    out = ["c AS (SELECT count(*)::DOUBLE AS n FROM n)", "o AS (SELECT src AS id, count(*) AS k FROM f GROUP BY src)", "p0 AS (SELECT id, 1 / c.n AS r FROM n, c)"]
+def pagerank_sql(rounds: int, n: str = "n", f: str = "f") -> str:
+    """``n`` and ``f``: the CTEs of nodes and forward edges."""
+    out = [f"c AS (SELECT count(*)::DOUBLE AS n FROM {n})", f"o AS (SELECT src AS id, count(*) AS k FROM {f} GROUP BY src)", f"p0 AS (SELECT id, 1 / c.n AS r FROM {n} x, c)"]
     for i in range(rounds):
-        out.append(f"g{i} AS (SELECT f.dst AS id, sum(p.r / o.k) AS g FROM p{i} p JOIN o ON p.id = o.id JOIN f ON f.src = p.id GROUP BY f.dst)")
+        out.append(f"g{i} AS (SELECT y.dst AS id, sum(p.r / o.k) AS g FROM p{i} p JOIN o ON p.id = o.id JOIN {f} y ON y.src = p.id GROUP BY y.dst)")
         out.append(f"z{i} AS (SELECT coalesce(sum(p.r), 0) AS z FROM p{i} p WHERE p.id NOT IN (SELECT id FROM o))")
-        out.append(f"p{i + 1} AS (SELECT n.id, 0.15 / c.n + 0.85 * (coalesce(g, 0) + z / c.n) AS r FROM n LEFT JOIN g{i} ON n.id = g{i}.id, c, z{i})")
+        out.append(f"p{i + 1} AS (SELECT x.id, 0.15 / c.n + 0.85 * (coalesce(g, 0) + z / c.n) AS r FROM {n} x LEFT JOIN g{i} ON x.id = g{i}.id, c, z{i})")
     return ", ".join(out)
 
 
@@ -699,6 +798,27 @@ def pagerank_fixed(spark: SparkSession, sf: str) -> DataFrame:
     return graph.pagerank(edges(spark, sf), nodes(spark, sf), 5, tolerance=None).select("id", F.round("rank", 9).alias("rank"))
 
 
+@query(
+    f"""WITH {EDGES_SQL}, {bfs_sql(3)}, nn AS (SELECT * FROM n WHERE id IN (SELECT id FROM b)), ff AS (SELECT * FROM f WHERE src IN (SELECT id FROM b)), {pagerank_sql(5, "nn", "ff")}
+SELECT id, round(r, 9) AS rank FROM p5"""
+)
+def pagerank_roots(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.pagerank(edges(spark, sf), nodes(spark, sf), 5, tolerance=None, roots=ROOTS).select("id", F.round("rank", 9).alias("rank"))
+
+
+@query(f"WITH {EDGES_SQL} SELECT id, type, name FROM n WHERE id > 'C:5' ORDER BY id LIMIT 40")
+def node_page(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.page(nodes(spark, sf), "C:5", 40)
+
+
+@query(
+    f"""WITH {EDGES_SQL} SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM documents) AS records,
+(SELECT count(*) FROM embeddings WHERE embedding IS NOT NULL) AS vectors, (SELECT count(DISTINCT lang) FROM documents) AS namespaces"""
+)
+def engine_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.engine_stats(nodes(spark, sf), edges(spark, sf), record_table(spark, sf), embeddings(spark, sf))
+
+
 @query(f"WITH {EDGES_SQL} SELECT id, (SELECT count(*) FROM f WHERE dst = id) AS in_degree, (SELECT count(*) FROM f WHERE src = id) AS out_degree FROM n")
 def degree_centrality(spark: SparkSession, sf: str) -> DataFrame:
     return graph.degrees(edges(spark, sf), nodes(spark, sf))

@@ -7,12 +7,16 @@ it is joined, so a hub is expanded once.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import kept
 
+#: Levels after which their tables are written as one.
+MERGE_EVERY = 8
+
 
 def directed(edges: DataFrame, direction: str = "forward", labels: Sequence[str] = ()) -> DataFrame:
     """Edges to follow: by their stored ``reverse`` flag, and by label if any is given."""
@@ -32,17 +36,19 @@ def _roots(spark: SparkSession, roots: Sequence[str] | DataFrame) -> DataFrame:
     return spark.createDataFrame([(r,) for r in roots], "id string")
 
 
-def bfs(edges: DataFrame, roots: Sequence[str] | DataFrame, max_depth: int, direction: str = "forward", labels: Sequence[str] = ()) -> DataFrame:
-    """(id, depth): everything reachable within ``max_depth``; roots at 0, ids without a row of their own included."""
+def bfs(edges: DataFrame, roots: Sequence[str] | DataFrame, max_depth: int | None = None, direction: str = "forward", labels: Sequence[str] = ()) -> DataFrame:
+    """(id, depth): everything reachable within ``max_depth`` (None: at any depth); roots at 0, ids without a row of their own included."""
     step = directed(edges, direction, labels).select("src", "dst")
     seen = kept(_roots(edges.sparkSession, roots).distinct().withColumn("depth", F.lit(0)))
     front = seen
-    for depth in range(1, max_depth + 1):
+    for depth in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = front.select(F.col("id").alias("src")).join(step, "src").select(F.col("dst").alias("id")).distinct()
         front = kept(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
+        if depth % MERGE_EVERY == 0:
+            seen = kept(seen)
     return seen
 
 
@@ -87,30 +93,29 @@ def dfs(edges: DataFrame, root: str, max_depth: int, labels: Sequence[str] = (),
     return own.coalesce(1).mapInArrow(run, "id string, preorder int")
 
 
-def topo_levels(edges: DataFrame, roots: Sequence[str] | DataFrame | None = None, limit: int = 10_000) -> tuple[DataFrame, bool]:
-    """((id, level), is it acyclic): layers of Kahn's algorithm on the forward edges (of what roots reach, if given).
+def topo_levels(edges: DataFrame, roots: Sequence[str] | DataFrame | None = None) -> tuple[DataFrame, bool]:
+    """((id, level), is it acyclic): layers of Kahn's algorithm on the forward edges (of what roots reach, if given), however many.
 
     Level = the longest path to a node. Nodes on or behind a cycle get no level.
     """
     step = directed(edges).select("src", "dst").distinct()
     if roots is not None:
-        inside = bfs(edges, roots, limit).select("id")
+        inside = bfs(edges, roots).select("id")
         step = step.join(inside.select(F.col("id").alias("src")), "src", "left_semi")
         all_ids = inside
     else:
         all_ids = step.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
     left, open_ = kept(all_ids), kept(step)
-    done = None
-    for level in range(limit):
+    done = left.withColumn("level", F.lit(0)).limit(0)
+    for level in count():
         free = kept(left.join(open_.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").withColumn("level", F.lit(level)))
         if free.isEmpty():
-            break
-        done = free if done is None else done.unionByName(free)
+            return done, left.isEmpty()
+        done = done.unionByName(free)
         left = kept(left.join(free.select("id"), "id", "left_anti"))
         open_ = kept(open_.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-    if done is None:
-        done = left.withColumn("level", F.lit(0)).limit(0)
-    return done, left.isEmpty()
+        if (level + 1) % MERGE_EVERY == 0:
+            done = kept(done)  # one table instead of one for each level
 
 
 def is_dag(edges: DataFrame, roots: Sequence[str] | DataFrame | None = None) -> bool:
@@ -124,11 +129,14 @@ def accumulated(edges: DataFrame, roots: Sequence[str], max_depth: int, delta: C
     return own.groupBy(F.col("src").alias("id")).agg(F.sum(delta).alias("acc"))
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float | None = 1e-6, checkpoint_every: int = 5, roots: Sequence[str] | DataFrame | None = None) -> DataFrame:
     """(id, rank): parallel edges count each; nodes without out-edges spread their rank evenly. ``tolerance``: stop at that L1 change (None: never).
+    ``roots``: only the sub-graph that forward edges reach from them is ranked.
 
     The sum over dangling nodes is taken in the same job as the contributions, as a row for a node that doesn't exist.
     """
+    if roots is not None:
+        nodes = kept(nodes.join(bfs(edges, roots).select("id"), "id", "left_semi"))
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
@@ -164,6 +172,20 @@ def neighbours(edges: DataFrame, nodes: DataFrame, start: str) -> DataFrame:
     return own.join(nodes, "id", "left")
 
 
+def page(nodes: DataFrame, after: str | None, limit: int = 100) -> DataFrame:
+    """The next nodes by id after one: a pushed filter and a top-k."""
+    return (nodes if after is None else nodes.filter(F.col("id") > after)).orderBy("id").limit(limit)
+
+
+def engine_stats(nodes: DataFrame, edges: DataFrame, records: DataFrame, vectors: DataFrame, vector: str = "embedding") -> DataFrame:
+    """One row of counts over the whole store. Each table is scanned once, for the columns that it counts."""
+    one = nodes.agg(F.count("*").alias("nodes"))
+    two = edges.agg(F.count("*").alias("edges"))
+    three = records.agg(F.count("*").alias("records"), F.countDistinct("namespace").alias("namespaces"))
+    four = vectors.agg(F.count(vector).alias("vectors"))
+    return one.crossJoin(F.broadcast(two)).crossJoin(F.broadcast(three)).crossJoin(F.broadcast(four)).select("nodes", "edges", "records", "vectors", "namespaces")  # one row each
+
+
 def integrity(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """One row: dangling edges, self loops, nodes without an edge, mean out-degree."""
     ids = nodes.select("id").distinct()

@@ -72,9 +72,12 @@ def relevance(distance: Column) -> Column:
     return 1 - distance / 2
 
 
-def quality(ranked: DataFrame, judged: DataFrame, k: int) -> DataFrame:
-    """(query_id, ndcg, mrr, recall) with binary relevance. ``ranked``: (query_id, key, rank); ``judged``: (query_id, key), the relevant ones."""
-    total = judged.groupBy("query_id").agg(F.count("*").alias("relevant"))
+def quality(ranked: DataFrame, judged: DataFrame, k: int, total: DataFrame | None = None) -> DataFrame:
+    """(query_id, ndcg, mrr, recall) with binary relevance. ``ranked``: (query_id, key, rank); ``judged``: (query_id, key), the relevant ones.
+
+    Where ``total`` (query_id, relevant) gives the number of relevant ones, ``judged`` needs to hold those among the ranked only.
+    """
+    total = judged.groupBy("query_id").agg(F.count("*").alias("relevant")) if total is None else total
     hit = ranked.filter(F.col("rank") <= k).join(judged.withColumn("_hit", F.lit(1)), ["query_id", "key"], "left")
     gain = F.when(F.col("_hit") == 1, 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)
     got = hit.groupBy("query_id").agg(F.sum(gain).alias("dcg"), F.min(F.when(F.col("_hit") == 1, F.col("rank"))).alias("first"), F.sum(F.coalesce("_hit", F.lit(0))).alias("hits"))

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..session import kept
 
 MAX_QUERIES = 10_000
 
@@ -70,8 +71,8 @@ def batch(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector
                 if metric == "cosine":
                     under = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
                     s = np.divide(q @ x.T, under, out=np.zeros((len(q), len(x))), where=under > 0)
-                else:
-                    s = -np.sqrt(((q[:, None] - x[None]) ** 2).sum(2))
+                else:  # by norms, so that no array holds queries x rows x dimensions
+                    s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * (q @ x.T), 0.0))
                 s = np.round(s, 6)
                 for j, i in enumerate(at):
                     mine, score = keys[own], s[j]
@@ -141,6 +142,7 @@ class Inverted:
         fit = own if n <= sample else own.filter(F.shiftrightunsigned(F.xxhash64(key), 11) / float(1 << 53) < sample / n)
         model = KMeans(k=cells, seed=seed, maxIter=20, tol=1e-4, distanceMeasure="cosine", featuresCol="_x", predictionCol="cell").fit(fit.select(array_to_vector(V.doubles(F.col(vector))).alias("_x")))
         table = model.transform(own.withColumn("_x", array_to_vector(V.doubles(F.col(vector))))).drop("_x")
+        table = kept(table.repartition("cell"), partition="cell")  # a search opens the folders of its cells alone
         return cls(np.array(model.clusterCenters()), table, key, vector)
 
     def _order(self, queries: np.ndarray) -> np.ndarray:

@@ -77,8 +77,9 @@ def scored(records: DataFrame, query: TextQuery, keep: Column | None = None, pay
     sums += [F.sum((F.col(f"_tf_{i}") > 0).cast("long")).alias(f"_df_{i}") for i in range(n)]
     stats = a.groupBy("namespace").agg(*sums).withColumnRenamed("namespace", "_ns")
     stats = stats.withColumn("avgdl", F.when(F.col("_total") > 0, F.col("_total") / F.col("doc_count")).otherwise(1.0)).drop("_total")
+    # no filter passes a row number, so the counts aren't copied into the filter and each text is split once
     some = reduce(lambda x, y: x | y, [F.col(f"_tf_{i}") > 0 for i in range(n)], F.lit(False))
-    hits = a.filter(some)
+    hits = a.withColumn("_row", F.monotonically_increasing_id()).filter(some & (F.col("_row") >= 0)).drop("_row")
     if query.phrases:
         joined = F.array_join("_tokens", " ")
         hits = hits.filter(reduce(lambda x, y: x & y, [_phrase_hit(joined, p) for p in query.phrases]))

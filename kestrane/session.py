@@ -23,13 +23,24 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
     return spark
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """Writes a frame to the shared folder in ``spark.checkpoint.dir`` and reads it again: loops stay short-lined and survive lost executors.
-
-    Only where that setting is unset (tests) a local folder serves.
+def scratch_path(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder that ``spark.checkpoint.dir`` names. A temporary folder serves only a session on one machine that
+    names none (tests); elsewhere executors would not see each other's files."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set: executors share no other folder")
+        root = f"file://{tempfile.gettempdir()}/kestrane-kept"
+    return f"{root.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, partition: str | None = None) -> DataFrame:
+    """Writes a frame to the shared folder and reads it again: loops stay short-lined and survive lost executors.
+
+    ``partition``: a column whose values get a folder each. Tables stay for whoever still reads them; the folder is the cluster's to clear.
     """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or f"file://{tempfile.gettempdir()}/kestrane-kept"
-    path = f"{root.rstrip('/')}/kept-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = scratch_path(df.sparkSession, "kept")
+    out = df.write.partitionBy(partition) if partition else df.write
+    out.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -29,7 +29,7 @@ def windowed(stream: DataFrame, time: str, by: str, width: str = "1 hour", late:
     return _timed(stream, time).withWatermark(time, late).groupBy(F.window(time, width), by).agg(F.count("*").alias("n"))
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...]) -> StreamingQuery:
+def upsert(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...], mode: str = "append") -> StreamingQuery:
     """Appends each micro-batch's last row by key to a log partitioned by batch. A batch that is run again overwrites its own part, so a
     restart after a lost node adds nothing twice; readers take the latest version."""
 
@@ -38,7 +38,13 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, by: tuple[str, ...]) -
         last = batch.groupBy(*by).agg(F.max_by(F.struct(*rest), F.struct(*rest)).alias("_r")).select(*by, "_r.*")
         last.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def complete(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The whole result of an aggregation, written anew by each micro-batch."""
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(path)
+    return stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def running_totals(stream: DataFrame, key: str, value: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kestrane.functions import text as T
 from kestrane.functions import vectors as V
 from kestrane.functions.stemmer import stem
-from kestrane.operators import filters, graph, hybrid, knn, records, text_index
+from kestrane.operators import filters, graph, graph_retrieval, hybrid, knn, records, text_index
 from kestrane.plans import parser as P
 from kestrane.plans.planner import Store
 from kestrane.sources import records_io
@@ -46,6 +46,91 @@ def test_depth_first_and_order(spark, edges):
         graph.traverse(edges, nodes, "9", None, 1, 2)
 
 
+def _graph(spark, rows):
+    forward = spark.createDataFrame([(*r, "to", 1.0, False) for r in rows], "src string, dst string, label string, weight double, reverse boolean")
+    return forward.unionByName(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "label", "weight", F.lit(True).alias("reverse")))
+
+
+def test_preorder_of_diamonds_and_cycles(spark):
+    rows = [("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("d", "e"), ("e", "b"), ("c", "f")]
+    out = {}
+    for x, y in rows:
+        out.setdefault(x, []).append(y)
+    order = []
+
+    def walk(x):
+        if x not in order:
+            order.append(x)
+            for y in sorted(out.get(x, [])):
+                walk(y)
+
+    walk("a")
+    got = [r["id"] for r in graph.dfs(_graph(spark, rows), "a", 9).orderBy("preorder").collect()]
+    assert got == order
+    levels, acyclic = graph.topo_levels(_graph(spark, rows))
+    assert not acyclic and {r["id"]: r["level"] for r in levels.collect()} == {"a": 0, "c": 1, "f": 2}
+
+
+def test_levels_of_a_long_chain(spark, monkeypatch):
+    """Levels and depths go on as long as the graph does; merging tables changes nothing."""
+    monkeypatch.setattr(graph, "MERGE_EVERY", 2)
+    chain = _graph(spark, [(f"n{i}", f"n{i + 1}") for i in range(7)])
+    expected = {f"n{i}": i for i in range(8)}
+    for roots in (None, ["n0"]):
+        levels, acyclic = graph.topo_levels(chain, roots)
+        assert acyclic and {r["id"]: r["level"] for r in levels.collect()} == expected
+    assert {r["id"]: r["depth"] for r in graph.bfs(chain, ["n0"]).collect()} == expected
+
+
+def test_snippets(spark):
+    accents = "é" * 100 + " término " + "x" * 200
+    texts = {"short": "Térm and term", "far": accents, "none": "y" * 300, "null": None}
+    df = spark.createDataFrame(list(texts.items()), "k string, t string")
+    got = {r["k"]: r["s"] for r in df.select("k", T.snippet(F.col("t"), ["termino", "term"], True).alias("s")).collect()}
+    assert got["short"] == "<strong>Térm</strong> and <strong>term</strong>" and got["null"] is None
+    assert got["far"].startswith("..." + "é" * 47) and "<strong>térm</strong>ino" in got["far"] and got["far"].endswith("x...")
+    assert got["none"] == "y" * 76 + "..."
+    assert df.select(T.snippet(F.col("t"), []).alias("s")).filter("s is not null").isEmpty()
+
+
+def test_texts_are_split_once(spark):
+    df = spark.createDataFrame([("en", "a", "x y"), ("en", "b", "y")], "namespace string, key string, payload string")
+    scored = text_index.scored(df, text_index.plan("x y z"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2  # once for the statistics, once for the hits
+    assert {r["key"]: r["doc_len"] for r in scored.collect()} == {"a": 2, "b": 1}
+
+
+def test_relevance_by_hand(spark):
+    """Marginal relevance against a plain loop; Euclidean batches against brute force."""
+    x = np.random.default_rng(2).standard_normal((60, 8))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    q = x[3] + 0.1
+    unit, uq = x / np.linalg.norm(x, axis=1, keepdims=True), q / np.linalg.norm(q)
+    near = sorted(range(60), key=lambda i: (-round(float(unit[i] @ uq), 6), i))[:20]
+    taken = []
+    while len(taken) < 4:
+        def worth(i):
+            return 0.5 * (1 - (1 - round(float(unit[i] @ uq), 6)) / 2) - (0.5 * max(float(unit[i] @ unit[j]) for j in taken) if taken else 0)
+
+        taken.append(max((i for i in near if i not in taken), key=lambda i: round(worth(i), 9)))
+    assert [r["key"] for r in knn.mmr(df, q.tolist(), 4).orderBy("rank").collect()] == taken
+    queries = df.filter("vec_id < 5").withColumnRenamed("vec_id", "query_id")
+    got = {(r["query_id"], r["rank"]): (r["key"], r["score"]) for r in knn.batch(df, queries, 3, metric="euclidean", skip_self=True).collect()}
+    for i in range(5):
+        d = np.linalg.norm(x - x[i], axis=1)
+        order = [j for j in np.argsort(d, kind="stable") if j != i][:3]
+        assert [got[i, k + 1][0] for k in range(3)] == order and [got[i, k + 1][1] for k in range(3)] == pytest.approx([-d[j] for j in order], abs=1e-6)
+
+
+def test_context_text(spark):
+    best = spark.createDataFrame([("b", "two\n\n lines ", 1, 0.25), ("a", "one", 0, 0.9)], "id string, content string, hop int, score double")
+    own = spark.createDataFrame([("a", "knows", "b"), ("a", "also", "b")], "src string, label string, dst string")
+    got = graph_retrieval.context(best, own).head()[0]
+    assert got == "## Relevant Nodes\n- Node a (score: 0.9000, hop_distance: 0)\n  one\n- Node b (score: 0.2500, hop_distance: 1)\n  two\n  lines\n\n## Graph Relationships\n- Node a --[also]--> Node b"
+    assert graph_retrieval.context(best.limit(0), own.limit(0)).head()[0] == ""
+
+
 def test_filters(spark):
     df = spark.createDataFrame([("a", 1, ["x", "y"]), ("b", None, None)], "key string, n int, tags array<string>")
     keys = lambda c: [r["key"] for r in df.filter(c).orderBy("key").collect()]
