@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as T
 from .functions import vectors as V
-from .operators import filters, graph, graph_retrieval, hybrid, knn, records, text_index
+from .operators import filters, graph, graph_retrieval, hybrid, knn, records, text_index, threads
 from .plans.planner import Catalogue, Planner, Store
 from .session import kept, scratch_path
 from .sources import records_io
@@ -508,6 +508,29 @@ def put_batch(spark: SparkSession, sf: str) -> DataFrame:
     return records.latest(records.put(store, batch, F.lit(2))).select("namespace", "key", "payload", "version", "created_at", "updated_at")
 
 
+@query(
+    """WITH v AS (SELECT vec_id, label % 2 = 0 AS quantized FROM embeddings), a AS (SELECT user_id AS vec_id, epoch_us(ts) // 3600000000 AS tick FROM events WHERE user_id IS NOT NULL),
+s AS (SELECT vec_id, count(*) AS hits, max(tick) AS last FROM a GROUP BY vec_id), x AS (SELECT max(tick) AS now FROM a)
+SELECT vec_id, CASE WHEN NOT quantized AND (last IS NULL OR now - last > 100) THEN 'quantize' WHEN quantized AND hits >= 5 THEN 'promote' ELSE 'none' END AS action FROM v LEFT JOIN s USING (vec_id), x"""
+)
+def quantization_actions(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' events as reads of vectors, hours as ticks."""
+    read = load(spark, sf, "events").filter("user_id is not null").select(F.col("user_id").alias("vec_id"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 3_600_000_000).alias("tick"))
+    now = read.agg(F.max("tick")).head()[0] or 0
+    return knn.format_actions(load(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2 == 0).alias("quantized")), read, now)
+
+
+@query(
+    f"""WITH {DOCS}, t AS (SELECT doc_id, unnest(tok) AS token FROM d), h AS (SELECT doc_id, md5(token) AS c FROM t),
+s AS (SELECT doc_id, ('0x' || c[1:6])::BIGINT % 64 AS dim, sum(CASE WHEN c[7] < '8' THEN 1 ELSE -1 END) AS v FROM h GROUP BY 1, 2)
+SELECT doc_id, dim, round(v / sqrt(sum(v * v) OVER (PARTITION BY doc_id)), 6) AS value FROM s WHERE v <> 0"""
+)
+def offline_embedding(spark: SparkSession, sf: str) -> DataFrame:
+    """Hashed embeddings of all texts; what isn't zero, by dimension."""
+    words = record_table(spark, sf).select("doc_id", F.explode(T.tokens(F.col("payload"))).alias("token"))
+    return V.hashed(words, "doc_id", "token").select("doc_id", F.posexplode("embedding").alias("dim", "value")).filter("value <> 0").select("doc_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
 TTL = "e AS (SELECT event_id, CASE WHEN event_type = 'view' THEN NULL ELSE ts + INTERVAL 7 DAY END AS expires FROM events), x AS (SELECT max(ts) - INTERVAL 3 DAY AS now FROM events)"
 
 
@@ -563,12 +586,24 @@ def eviction_ranking(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT DISTINCT o_orderkey % 97 AS g, o_custkey % 50 AS item FROM orders), p AS (SELECT a.item AS a, b.item AS b, count(*) AS n FROM s a JOIN s b ON a.g = b.g AND a.item < b.item GROUP BY 1, 2 HAVING count(*) >= 3),
+    """WITH s AS (SELECT DISTINCT l_orderkey AS g, l_suppkey AS item FROM lineitem), o AS (SELECT g, (row_number() OVER (ORDER BY g) - 1) // 1000 AS epoch FROM s GROUP BY g HAVING count(*) > 1),
+t AS (SELECT g, item, (SELECT max(epoch) FROM o) - epoch AS age FROM s JOIN o USING (g)),
+p AS (SELECT a.item AS a, b.item AS b, floor(sum(pow(0.5, a.age)))::BIGINT AS n FROM t a JOIN t b ON a.g = b.g AND a.item < b.item GROUP BY 1, 2 HAVING sum(pow(0.5, a.age)) >= 3),
 r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS k FROM p) SELECT a, b, n FROM r WHERE k <= 8"""
 )
 def co_access_pairs(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders").select((F.col("o_orderkey") % 97).alias("g"), (F.col("o_custkey") % 50).alias("item"))
-    return records.co_access(o, "g", "item")
+    """Suppliers that orders name together, orders as sessions in the order of their keys."""
+    return records.co_access(load(spark, sf, "lineitem"), "l_orderkey", "l_suppkey")
+
+
+@query(
+    """WITH d AS (SELECT unnest([{'field': 'lang', 'value': lang}, {'field': 'source', 'value': source}, {'field': 'n_chars', 'value': n_chars::VARCHAR}], recursive := true) FROM documents),
+n AS (SELECT field, value, count(*) AS n FROM d GROUP BY field, value),
+r AS (SELECT *, round(n / sum(n) OVER (PARTITION BY field), 6) AS share, row_number() OVER (PARTITION BY field ORDER BY n DESC, value NULLS FIRST) AS k FROM n)
+SELECT field, value, n, share FROM r WHERE k <= 100"""
+)
+def cardinality_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return records.cardinality(load(spark, sf, "documents"), ["lang", "source", "n_chars"])
 
 
 @query(
@@ -595,6 +630,30 @@ def thread_messages(spark: SparkSession, sf: str) -> DataFrame:
     return records.thread(load(spark, sf, "conversations"), 11).select("turn", "role", "text")
 
 
+@query(
+    """WITH m AS (SELECT conv_id, turn, turn * 60 AS sent_at FROM conversations WHERE conv_id IS NOT NULL), t AS (SELECT DISTINCT conv_id, (conv_id % 4) * 100 AS ttl FROM m WHERE conv_id % 5 > 0),
+s AS (SELECT conv_id, ttl, greatest(max(sent_at), 10) AS updated_at, count(*) AS n_messages FROM t JOIN m USING (conv_id) GROUP BY conv_id, ttl),
+k AS (SELECT *, CASE WHEN ttl > 0 THEN updated_at + ttl END AS expires_at FROM s)
+SELECT conv_id AS thread_id, n_messages, updated_at, expires_at, (SELECT count(*) FROM m WHERE conv_id % 5 = 0) AS refused FROM k WHERE conv_id > 3 AND (expires_at IS NULL OR expires_at >= 300)"""
+)
+def thread_lifecycle(spark: SparkSession, sf: str) -> DataFrame:
+    """Threads for four of five conversations, created at 10; all turns sent, a minute each; three threads deleted; expired ones purged at 300."""
+    turns = load(spark, sf, "conversations").filter("conv_id is not null").select(F.col("conv_id").alias("thread_id"), "role", F.col("text").alias("content"), (F.col("turn") * 60).alias("at"))
+    new = turns.select("thread_id").distinct().filter("thread_id % 5 > 0").withColumn("title", F.lit("talk")).withColumn("ttl", F.col("thread_id") % 4 * 100)
+    none = spark.createDataFrame([], "thread_id long, title string, created_at long, updated_at long, ttl long, expires_at long")
+    opened = threads.created(none, new, F.lit(10).cast("long"))
+    own, messages, refused = threads.sent(opened, spark.createDataFrame([], turns.schema), turns)
+    own, messages = threads.deleted(own, messages, own.filter("thread_id <= 3"))
+    own, messages = threads.purged(own, messages, F.lit(300))
+    n = messages.groupBy("thread_id").agg(F.count("*").alias("n_messages"))
+    return own.join(n, "thread_id").select("thread_id", "n_messages", "updated_at", "expires_at").crossJoin(refused.agg(F.count("*").alias("refused")))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at FROM events")
+def rfc3339_times(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "events").select("event_id", T.rfc3339(F.col("ts")).alias("at"))
+
+
 @query(r"SELECT conv_id, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::BIGINT AS words FROM conversations GROUP BY conv_id")
 def transcript_word_count(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(T.word_count(F.col("text"))).alias("words"))
@@ -740,6 +799,11 @@ def bfs(spark: SparkSession, sf: str) -> DataFrame:
     return graph.bfs(edges(spark, sf), ROOTS, 3)
 
 
+@query(f"WITH RECURSIVE {EDGES_SQL}, x AS (SELECT id FROM ({_ROOTS}) UNION SELECT dst FROM e JOIN x ON src = id WHERE NOT reverse) SELECT src, dst, label, 1.0::DOUBLE AS weight FROM e JOIN x ON src = id WHERE NOT reverse")
+def edge_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.discovered(edges(spark, sf), ROOTS)
+
+
 @query(f"WITH {EDGES_SQL}, {bfs_sql(3, "NOT reverse AND label IN ('in_nation')")} SELECT id, depth FROM b")
 def bfs_labeled(spark: SparkSession, sf: str) -> DataFrame:
     return graph.bfs(edges(spark, sf), ROOTS, 3, labels=["in_nation"])

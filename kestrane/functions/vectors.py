@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
@@ -102,6 +102,18 @@ def sign_likeness(a: Column, b: Column) -> Column:
     return 1 - apart / (64.0 * F.size(a))
 
 
+def hashed(tokens: DataFrame, key: str, token: str, dims: int = 64) -> DataFrame:
+    """(key, embedding): an offline stand-in for an embedding model. Each token adds 1 or -1 to one dimension, both from its MD5; the sum has
+    length 1. ``tokens`` holds a row per token; keys without tokens get no row."""
+    code = F.md5(F.encode(token, "UTF-8"))
+    at = F.conv(F.substr(code, F.lit(1), F.lit(6)), 16, 10).cast("long") % dims
+    sign = F.when(F.conv(F.substr(code, F.lit(7), F.lit(1)), 16, 10).cast("int") < 8, 1).otherwise(-1)
+    sums = tokens.filter(F.col(token).isNotNull()).groupBy(key, at.alias("_at")).agg(F.sum(sign).cast("double").alias("_v"))
+    by = sums.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_at", "_v"))).alias("_m"), F.sqrt(F.sum(F.col("_v") * F.col("_v"))).alias("_norm"))
+    value = lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)) / F.when(F.col("_norm") > 0, F.col("_norm")).otherwise(1.0)
+    return by.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), value).alias("embedding"))
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def fwht(v: pd.Series) -> pd.Series:
     """The orthonormal fast Walsh-Hadamard transform; vectors whose length is no power of two come back as they are."""

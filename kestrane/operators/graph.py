@@ -60,6 +60,13 @@ def traverse(edges: DataFrame, nodes: DataFrame, start: str, label: str | None,
     return found.filter((F.col("depth") >= max(least, 1)) & (F.col("depth") <= most))
 
 
+def discovered(edges: DataFrame, roots: Sequence[str] | DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """(src, dst, label, weight): the outgoing edges of everything reachable from the roots, to be kept ready for later walks."""
+    step = directed(edges, "forward", labels)
+    found = bfs(edges, roots, labels=labels).select(F.col("id").alias("src"))
+    return step.join(found, "src", "left_semi").select("src", "dst", "label", "weight")
+
+
 def dfs(edges: DataFrame, root: str, max_depth: int, labels: Sequence[str] = (), limit: int = 1_000_000) -> DataFrame:
     """(id, preorder): depth-first order of the sub-graph found within ``max_depth``, neighbours in ascending order.
 

@@ -107,6 +107,16 @@ def two_stage(df: DataFrame, query: Sequence[float], k: int, key: str = "vec_id"
     return top(near.drop("_coarse"), query, k, key, vector)
 
 
+def format_actions(vectors: DataFrame, accesses: DataFrame, now: int, key: str = "vec_id", cold: int = 100, hot: int = 5) -> DataFrame:
+    """(key, action) by an access log (key, tick): ``quantize`` what is whole and was last read more than ``cold`` ticks ago or never,
+    ``promote`` what is quantised and was read ``hot`` times or more, ``none`` otherwise. ``vectors`` holds (key, quantized)."""
+    seen = accesses.groupBy(key).agg(F.count("*").alias("_hits"), F.max("tick").alias("_last"))
+    a = vectors.select(key, "quantized").join(seen, key, "left")
+    is_cold = F.col("_last").isNull() | (F.lit(now) - F.col("_last") > cold)
+    action = F.when(~F.col("quantized") & is_cold, "quantize").when(F.col("quantized") & (F.col("_hits") >= hot), "promote").otherwise("none")
+    return a.select(key, action.alias("action"))
+
+
 def ranges(df: DataFrame, vector: str = "embedding") -> DataFrame:
     """(dim, lo, hi): each dimension's range, for codes by dimension."""
     return df.select(F.posexplode(V.doubles(F.col(vector))).alias("dim", "x")).groupBy("dim").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))

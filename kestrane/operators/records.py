@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import kept
 from . import filters
 
 NAMESPACE = re.compile(r"[A-Za-z0-9._/-]{1,128}")
@@ -146,28 +147,51 @@ def evict(df: DataFrame, score: Column, ratio: float, key: str) -> DataFrame:
 SESSION_BLOCK = 1000
 
 
-def session_blocks(events: DataFrame, session: str, item: str) -> DataFrame:
-    """(_s, _blocks, _block, _items): each session's distinct items in blocks of about ``SESSION_BLOCK``."""
+#: Bits after the point in counts that are halved; a session more halvings old counts nothing.
+AGE_BITS = 50
+
+
+def aged(sessions: DataFrame, key: str, every: int) -> DataFrame:
+    """Adds ``_age``: how often counts are halved after each session, once every ``every`` sessions in ascending order of ``key``.
+
+    Sessions are numbered in ranges of the key, so no task orders them all; only the ranges' counts meet in one.
+    """
+    parted = kept(sessions.repartitionByRange(key).withColumn("_part", F.spark_partition_id()))
+    counts = parted.groupBy("_part").agg(F.count("*").alias("_in"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_in").over(before), F.lit(0)).alias("_start"), F.sum("_in").over(Window.partitionBy()).alias("_all"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy(F.asc_nulls_first(key))) - 1 + F.col("_start")
+    age = F.floor((F.col("_all") - 1) / every) - F.floor(F.col("_place") / every)
+    return parted.join(starts, "_part").withColumn("_place", place).withColumn("_age", age).drop("_part", "_start", "_all", "_place")
+
+
+def session_blocks(events: DataFrame, session: str, item: str, halve_every: int = 1000) -> DataFrame:
+    """(_s, _blocks, _age, _block, _items): the distinct items of each session of two or more, in blocks of about ``SESSION_BLOCK``."""
     own = events.select(F.col(session).alias("_s"), F.col(item).alias("_x")).filter("_x is not null").distinct()
-    sizes = own.groupBy(F.col("_s").alias("_of")).agg(F.ceil(F.count("*") / SESSION_BLOCK).alias("_blocks"))
+    sizes = own.groupBy(F.col("_s").alias("_of")).agg(F.count("*").alias("_n")).filter("_n > 1")
+    sizes = aged(sizes.select("_of", F.ceil(F.col("_n") / SESSION_BLOCK).alias("_blocks")), "_of", halve_every)
     dealt = own.join(sizes, F.col("_s").eqNullSafe(F.col("_of"))).withColumn("_block", F.pmod(F.xxhash64("_x"), F.col("_blocks")))
-    return dealt.groupBy("_s", "_blocks", "_block").agg(F.sort_array(F.collect_list("_x")).alias("_items"))
+    return dealt.groupBy("_s", "_blocks", "_age", "_block").agg(F.sort_array(F.collect_list("_x")).alias("_items"))
 
 
-def co_access(events: DataFrame, session: str, item: str, least: int = 3, most: int = 8) -> DataFrame:
-    """(a, b, n): items seen together in at least ``least`` sessions, the ``most`` most frequent for each a.
+def co_access(events: DataFrame, session: str, item: str, least: int = 3, most: int = 8, halve_every: int = 1000) -> DataFrame:
+    """(a, b, n): items seen together in sessions, counts of at least ``least``, the ``most`` most frequent for each a.
 
-    Sessions are made distinct first. Blocks of a session meet one another in pairs, dealt over tasks, so no row or task holds a large session
-    and no session meets another. All pairs are counted alike; the reference's halving of counts in the order of accesses is left out.
+    Sessions are made distinct first and follow one another by their key; after every ``halve_every`` sessions of two items or more, all counts
+    so far are halved and rounded down. Rounding down again and again equals rounding once at the end, so a count is one sum of whole
+    numbers, each shifted by its session's age. Blocks of a session meet one another in pairs, dealt over tasks, so no row or task holds a
+    large session and no session meets another.
     """
-    blocks = session_blocks(events, session, item)
-    with_self = blocks.select(F.posexplode("_items").alias("_i", "a"), "_items")
-    with_self = with_self.select("a", F.explode(F.slice("_items", F.col("_i") + 2, F.size("_items"))).alias("b"))
+    blocks = session_blocks(events, session, item, halve_every)
+    with_self = blocks.select(F.posexplode("_items").alias("_i", "a"), "_items", "_age")
+    with_self = with_self.select("_age", "a", F.explode(F.slice("_items", F.col("_i") + 2, F.size("_items"))).alias("b"))
     others = blocks.filter("_blocks > 1").withColumn("_j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))).filter("_j <> _block")
-    met = others.groupBy("_s", F.least("_block", "_j").alias("_lo"), F.greatest("_block", "_j").alias("_hi")).agg(F.collect_list("_items").alias("_two"))
-    crossed = met.filter(F.size("_two") == 2).select(F.explode(F.col("_two")[0]).alias("_x"), F.col("_two")[1].alias("_other")).select("_x", F.explode("_other").alias("_y"))
-    pairs = with_self.unionByName(crossed.select(F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
-    n = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    met = others.groupBy("_s", "_age", F.least("_block", "_j").alias("_lo"), F.greatest("_block", "_j").alias("_hi")).agg(F.collect_list("_items").alias("_two"))
+    crossed = met.filter(F.size("_two") == 2).select("_age", F.explode(F.col("_two")[0]).alias("_x"), F.col("_two")[1].alias("_other"))
+    crossed = crossed.select("_age", "_x", F.explode("_other").alias("_y"))
+    pairs = with_self.unionByName(crossed.select("_age", F.least("_x", "_y").alias("a"), F.greatest("_x", "_y").alias("b")))
+    share = F.when(F.col("_age") > AGE_BITS, F.lit(0)).otherwise(F.expr(f"shiftleft(1L, {AGE_BITS} - cast(_age as int))"))
+    n = pairs.groupBy("a", "b").agg(F.shiftright(F.sum(share), AGE_BITS).alias("n")).filter(F.col("n") >= least)
     w = Window.partitionBy("a").orderBy(F.desc("n"), "b")
     return n.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= most).drop("_r")
 
@@ -184,6 +208,18 @@ def friction(events: DataFrame, origin: str, confidence: str, order: str) -> Dat
     return out.withColumn("friction", F.round(F.log2(F.col("collisions") + 1) * F.col("ema"), 6))
 
 
+def cardinality(df: DataFrame, fields: Sequence[str], most: int = 100) -> DataFrame:
+    """(field, value, n, share): how often each field holds each value, as text, nulls included; the ``most`` most frequent values of a field.
+
+    One scan for all fields; values are counted before they are ranked.
+    """
+    both = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields])
+    n = df.select(F.inline(both)).groupBy("field", "value").agg(F.count("*").alias("n"))
+    n = n.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("field")), 6))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), F.asc_nulls_first("value")))
+    return n.withColumn("_r", rank).filter(F.col("_r") <= most).drop("_r")
+
+
 def compacted(df: DataFrame, path: str, rows_per_file: int = 1_000_000) -> None:
     """Rewrites a table in files of a bounded number of rows, clustered by namespace and key."""
     df.repartitionByRange("namespace", "key").sortWithinPartitions("namespace", "key").write.option("maxRecordsPerFile", rows_per_file).mode("overwrite").parquet(path)

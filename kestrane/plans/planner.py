@@ -210,6 +210,8 @@ class Store:
         if isinstance(s, P.InsertMessage):
             seq = self.messages.filter(F.col("thread") == s.thread).count()
             node = f"message:{s.thread}:{seq}"
+            row = (node, "message", {"role": s.role, "content": s.text}, None)
+            self.nodes = self.nodes.unionByName(spark.createDataFrame([row], self.nodes.schema))
             self.messages = self.messages.unionByName(spark.createDataFrame([(s.thread, seq, s.role, s.text)], self.messages.schema))
             self.edges = graph.add_edge(self.edges, node, f"thread:{s.thread}", "belongs_to_thread")
             return 2

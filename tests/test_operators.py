@@ -175,7 +175,7 @@ def test_language_errors_and_changes(spark):
     assert store.apply('RELATE NODE#1 --"knows"--> NODE#2 WEIGHT 0.5') == 1 and store.edges.count() == 2
     assert store.apply('UPDATE NODE#1 SET a = "y"') == 1 and store.nodes.filter("id = '1'").head()["fields"]["a"] == "y"
     assert store.apply('INSERT MESSAGE USER "hello" TO THREAD#7') == 2
-    assert store.apply("DELETE NODE#1") == 1 and store.nodes.count() == 1 and store.edges.filter("label = 'knows'").isEmpty()
+    assert store.apply("DELETE NODE#1") == 1 and store.nodes.filter("type = 'message'").count() == 1 and store.nodes.count() == 2 and store.edges.filter("label = 'knows'").isEmpty()
     with pytest.raises(KeyError):
         store.apply('RELATE NODE#1 --"knows"--> NODE#2')
 
@@ -242,3 +242,14 @@ def test_co_access_in_blocks(spark, monkeypatch):
             counts[a, b] = counts.get((a, b), 0) + 1
     got = {(r["a"], r["b"]): r["n"] for r in records.co_access(df, "s", "x", least=1, most=1000).collect()}
     assert got == counts
+    # halving as it is told: step by step, rounded down, in the order of sessions (null first)
+    steps, seen = {}, 0
+    for s in sorted(sets, key=lambda s: (s is not None, s or 0)):
+        if len(sets[s]) > 1:
+            if seen and seen % 7 == 0:
+                steps = {p: n // 2 for p, n in steps.items() if n > 1}
+            seen += 1
+            for p in combinations(sorted(sets[s]), 2):
+                steps[p] = steps.get(p, 0) + 1
+    got = {(r["a"], r["b"]): r["n"] for r in records.co_access(df, "s", "x", least=1, most=1000, halve_every=7).collect()}
+    assert got == steps
