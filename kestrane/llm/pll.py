@@ -223,12 +223,15 @@ class Model:
     uid: str = field(default_factory=lambda: uuid.uuid4().hex)
 
 
-def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 2_000_000) -> DataFrame:
+def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 6_000_000) -> DataFrame:
     """(code, n): every window of every text. Windows are summed within a task before they are shuffled; a task holds about ``most``."""
 
     def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-        codes, back = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
-        return codes, np.bincount(back, np.concatenate([n for _, n in held])).astype(np.int64)
+        codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.argsort(codes, kind="stable")  # each part is in order, so this merges
+        codes, n = codes[order], n[order]
+        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        return codes[first], np.add.reduceat(n, first) if len(first) else n
 
     def rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(codes), 1 << 16):
@@ -251,7 +254,9 @@ def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 2_000
         if held:
             yield from rows(*summed(held))
 
-    return df.select(F.col(text).alias("t")).mapInArrow(lean(count), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    # tasks have summed their windows already, so the shuffle comes before the engine's own summing and not between its halves
+    own = df.select(F.col(text).alias("t")).mapInArrow(lean(count), "code long, n long")
+    return own.repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
 
 
 def fit(df: DataFrame, text: str = "text", rounds: int = 3, rate: float = 0.01) -> Model:
