@@ -90,13 +90,17 @@ class Coder:
         padded = np.full(len(tokens) + SIDE * (1 + len(texts)), EDGE, np.int64)
         place = np.arange(len(tokens)) + np.repeat(SIDE * (1 + np.arange(len(texts))), lengths)
         padded[place] = tokens
-        out = np.zeros(len(tokens), np.int64)
-        for k in range(-SIDE, SIDE + 1):
-            c = padded[place + k]
-            if some and k > 0:
-                c[np.flatnonzero(left >= k)] = MASK
-            out = (out << BITS) | c
-        return out, starts
+        # windows at every place, those of edges too, from slices; then the tokens' own are taken
+        place -= SIDE
+        out = np.zeros(max(0, len(padded) - 2 * SIDE), np.int64)
+        for k in range(2 * SIDE + 1):
+            c = padded[k : k + len(out)]
+            if some and k > SIDE:
+                c = c.copy()
+                c[place[left >= k - SIDE]] = MASK
+            out <<= BITS
+            out |= c
+        return out[place], starts
 
 
 def digits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
