@@ -130,48 +130,61 @@ def _fingerprinted(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.mapInArrow(lean(run), schema)
 
 
-def _range_of(key: str, cuts: list[int]) -> Column:
-    """How many cuts lie below the key; null keys come first. Halving keeps the expression as deep as the logarithm of the cuts."""
+RANGE_BYTES = 8 << 20  # of the texts of a range, about (a longer text stands alone)
+CUTS = 1023  # from quantiles; beyond them the keys between two cuts are divided evenly
+BROADCAST_RANGES = 2_000_000  # first keys, 12 bytes each, go to every executor; more meet the rows by a shuffle
 
-    def between(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col(key) > cuts[mid], between(mid + 1, hi)).otherwise(between(lo, mid))
 
-    return between(0, len(cuts))
+def _range_of(key: str, cuts: list[int], lo: int, hi: int, parts: int) -> Column:
+    """The number of a key's range; ranges ascend with the keys, and null keys are in the first. Cuts make ``len(cuts) + 1`` intervals of
+    about equal rows, each divided into ``parts``. Halving keeps the expression as deep as the logarithm of the cuts."""
+
+    def between(a: int, b: int) -> Column:
+        if a == b:
+            return F.lit(a)
+        mid = (a + b) // 2
+        return F.when(F.col(key) > cuts[mid], between(mid + 1, b)).otherwise(between(a, mid))
+
+    interval = between(0, len(cuts))
+    if parts == 1:
+        return interval
+    edges = [lo - 1, *cuts, hi]
+    start = F.element_at(F.array([F.lit(float(x)) for x in edges[:-1]]), interval + 1)
+    width = F.element_at(F.array([F.lit(float(max(b - a, 1))) for a, b in zip(edges, edges[1:])]), interval + 1)
+    part = F.floor((F.col(key).cast("double") - start) / width * parts).cast("int")
+    return interval * parts + F.coalesce(F.least(F.greatest(part, F.lit(0)), F.lit(parts - 1)), F.lit(0))
 
 
 def with_next(df: DataFrame, key: str, text: str, schema: str, use: Callable[[object, str, object, str], tuple], rows_each: int = 4000) -> DataFrame:
     """``use(key, text, next key, next text)`` for each row and its successor by ascending key; the first row follows the last.
 
-    The texts are shuffled once, by key range. Range bounds and each range's first row come from the keys alone, in numbers bounded by the
-    count of ranges. A range's task gets, besides its rows, the first row of the range after it. Rows of equal key are ordered by text.
+    The texts are shuffled once, by key range, a range to a task; there are as many ranges as rows and bytes call for. Range bounds and each
+    range's first key come from the keys alone. A range's task gets, besides its rows, the first row of the range after it. Keys are integers;
+    rows of equal key are ordered by text.
     """
     spark = df.sparkSession
     batches_bounded(spark, 1000)
-    n = df.count()
-    count = max(1, min(1024, -(-n // rows_each)))
-    cuts = []
-    if count > 1:
-        found = df.select(F.percentile_approx(key, [i / count for i in range(1, count)], 20 * count).alias("p")).head()
-        cuts = sorted({int(x) for x in (found[0] or [])})
     a = df.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    a = a.withColumn("p", _range_of("k", cuts))
+    whole = a.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("size"), F.min("k").alias("lo"), F.max("k").alias("hi")).head()
+    count = max(1, -(-whole["n"] // rows_each), -(-(whole["size"] or 0) // RANGE_BYTES))
+    cuts, parts = [], 1
+    if count > 1 and whole["lo"] is not None:
+        parts = -(-count // (CUTS + 1))
+        share = -(-count // parts)
+        found = a.select(F.percentile_approx("k", [i / share for i in range(1, share)], 20 * share).alias("p")).head() if share > 1 else None
+        cuts = sorted({int(x) for x in (found[0] if found else [])})
+    count = (len(cuts) + 1) * parts
+    a = a.withColumn("p", _range_of("k", cuts, whole["lo"], whole["hi"], parts) if whole["lo"] is not None else F.lit(0))
     least = F.min(F.struct(F.col("k").isNotNull().alias("known"), "k")).alias("x")  # a null key is the first
     firsts = [(r["p"], r["x"]["k"]) for r in a.groupBy("p").agg(least).sort("p").collect()]
-    before = {k: firsts[i - 1][0] for i, (_, k) in enumerate(firsts)}  # first key of a range -> the range before it
-    lent = F.lit(None).cast("int")
-    if before:
-        pairs = [F.lit(x) for kv in before.items() if kv[0] is not None for x in kv]
-        lent = F.try_element_at(F.create_map(*pairs), F.col("k")) if pairs else lent
-        if any(k is None for k in before):
-            lent = F.when(F.col("k").isNull(), F.lit(before[None])).otherwise(lent)
+    before = [(k, firsts[i - 1][0]) for i, (_, k) in enumerate(firsts)]  # first key of a range, and the range before it
+    lenders = spark.createDataFrame(before, "first long, _lent int")
+    lenders = F.broadcast(lenders) if len(before) <= BROADCAST_RANGES else lenders
     own = F.struct(F.col("p").alias("p"), F.lit(0).alias("lent"))
-    b = a.withColumn("_lent", lent)
+    b = a.join(lenders, F.col("k").eqNullSafe(F.col("first")), "left")
     b = b.withColumn("_to", F.when(F.col("_lent").isNotNull(), F.array(own, F.struct(F.col("_lent").alias("p"), F.lit(1).alias("lent")))).otherwise(F.array(own)))
     b = b.select("k", "t", F.inline("_to"))
-    b = b.repartition(count, "p").sortWithinPartitions("p", "lent", F.col("k").asc_nulls_first(), "t")
+    b = b.repartitionById(count, "p").sortWithinPartitions("p", "lent", F.col("k").asc_nulls_first(), "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # (range, lent, key, text) of the row before; lent rows of equal key beyond the first of a range are not its successor

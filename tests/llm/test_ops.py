@@ -100,6 +100,24 @@ def test_fingerprints(spark, odd, none):
     assert fingerprints.with_next(odd, "doc_id", "text", "k long, n long", pair).count() == 7
 
 
+def test_successors_in_many_ranges(spark, odd, none, monkeypatch):
+    """More ranges than cuts, with keys in lumps, far apart, negative and at the bounds of a long; ranges that don't fit a broadcast."""
+    pair = lambda k, t, nk, nt: (k, t, nk, nt)
+    keys = sorted({*range(-40, 200), *range(10**12, 10**12 + 90, 3), *(7**j for j in range(20)), -(1 << 63), (1 << 63) - 1})
+    docs = spark.createDataFrame([(k, f"text {k}") for k in keys], "doc_id long, text string").repartition(5)
+    want = [(k, f"text {k}", n, f"text {n}") for k, n in zip(keys, [*keys[1:], keys[0]])]
+    schema = "k long, t string, nk long, nt string"
+    for cuts, most in ((1023, 2_000_000), (6, 2_000_000), (6, 0), (0, 2_000_000)):
+        monkeypatch.setattr(fingerprints, "CUTS", cuts)
+        monkeypatch.setattr(fingerprints, "BROADCAST_RANGES", most)
+        got = fingerprints.with_next(docs, "doc_id", "text", schema, pair, rows_each=9)
+        assert sorted(map(tuple, got.collect())) == want
+        assert fingerprints.with_next(odd, "doc_id", "text", schema, pair, rows_each=2).count() == 7
+        assert fingerprints.with_next(none, "doc_id", "text", schema, pair).isEmpty()
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 100)
+    assert sorted(map(tuple, fingerprints.with_next(docs, "doc_id", "text", schema, pair).collect())) == want
+
+
 def test_fingerprint_has_no_tail():
     """Every chunk of a text has its character, however many boundaries repeated text brings."""
     rolled = lambda t: fingerprints._rolling(np.frombuffer(t.encode(), np.uint8)).astype(np.int64)
