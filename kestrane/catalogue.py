@@ -152,6 +152,29 @@ def text_index_repair(spark: SparkSession, sf: str) -> DataFrame:
     return text_index.repaired(p, damaged).groupBy("repair").agg(F.count("*").alias("n"))
 
 
+def _maintained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The index before: French records with other texts, no German ones, and a namespace that is deleted. Then the changes to what is now."""
+    now = record_table(spark, sf).select("namespace", "key", "payload")
+    before = now.filter("not namespace <=> 'de'").withColumn("payload", F.when(F.col("namespace") == "fr", F.concat(F.lit("earlier "), F.reverse("payload"))).otherwise(F.col("payload")))
+    gone = now.filter("namespace = 'es'").withColumn("namespace", F.lit("gone"))
+    before = before.unionByName(gone)
+    return text_index.maintained(text_index.postings(before), text_index.doc_stats(before), now.filter("namespace in ('de', 'fr')"), gone)
+
+
+@query(
+    f"""WITH {DOCS}, t AS (SELECT namespace, key, len(tok)::INTEGER AS doc_len, unnest(tok) AS token, generate_subscripts(tok, 1) - 1 AS pos FROM d)
+SELECT namespace, key, token, count(*)::INTEGER AS tf, sum(pos)::BIGINT AS sum_pos, any_value(doc_len) AS doc_len FROM t GROUP BY namespace, key, token"""
+)
+def postings_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    total = F.aggregate("positions", F.lit(0).cast("long"), lambda s, x: s + x)
+    return _maintained(spark, sf)[0].select("namespace", "key", "token", "tf", total.alias("sum_pos"), "doc_len")
+
+
+@query(f"WITH {DOCS} SELECT namespace, count(*) AS doc_count, sum(len(tok))::BIGINT AS total_doc_len FROM d GROUP BY namespace")
+def namespace_stats_incremental(spark: SparkSession, sf: str) -> DataFrame:
+    return text_index.stats_of(_maintained(spark, sf)[1])
+
+
 _BLANKS = r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$"
 _MARKED = rf"regexp_replace({{}}, '({T.any_form('ther')}|{T.any_form('tion')})', '<strong>\1</strong>', 'g')"
 
@@ -279,6 +302,21 @@ def dimension_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return knn.ranges(embeddings(spark, sf)).select("dim", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+@query(
+    f"""WITH {QV}, s AS (SELECT 'cosine' AS metric, vec_id, {COS} AS score FROM v, q UNION ALL SELECT 'euclidean', vec_id, -round(list_distance(e, q), 6) FROM v, q),
+r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT kind, metric, vec_id, score FROM r, (VALUES ('flat'), ('scann')) AS k(kind) WHERE n <= 10"""
+)
+def index_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    e, q, out = embeddings(spark, sf), _vector(spark, sf), None
+    for kind in ("flat", "scann"):
+        for metric in ("cosine", "euclidean"):
+            found = knn.make_index(kind, e, metric=metric).search(q, 10)
+            found = found.select(F.lit(kind).alias("kind"), F.lit(metric).alias("metric"), "vec_id", "score")
+            out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query()
 def ivf_knn(spark: SparkSession, sf: str) -> DataFrame:
     return knn.Inverted.build(embeddings(spark, sf)).search(_vector(spark, sf), 10).select("vec_id", "score")

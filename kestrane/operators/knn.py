@@ -185,6 +185,44 @@ class Inverted:
         return top(self.table.filter(F.col("cell").isin(*[int(i) for i in order])), query, k, self.key, self.vector)
 
 
+class Flat:
+    """No structure: a search is one exact scan."""
+
+    def __init__(self, table: DataFrame, key: str, vector: str, metric: str):
+        self.table, self.key, self.vector, self.metric = table, key, vector, metric
+
+    def search(self, query: Sequence[float], k: int) -> DataFrame:
+        return top(self.table, query, k, self.key, self.vector, metric=self.metric)
+
+
+class RangeCoded(Flat):
+    """Eight bits a dimension, by each dimension's range: the nearest ``factor`` * k rows by their codes are ranked again by whole vectors."""
+
+    def __init__(self, table: DataFrame, key: str, vector: str, metric: str, factor: int = 10):
+        self.bounds = [(r["lo"], r["hi"]) for r in ranges(table, vector).sort("dim").collect()]  # as many as dimensions
+        super().__init__(kept(range_coded(table, self.bounds, vector)), key, vector, metric)
+        self.factor = factor
+
+    def search(self, query: Sequence[float], k: int) -> DataFrame:
+        lo, step = V.literal([b[0] for b in self.bounds]), V.literal([(b[1] - b[0]) / 255 for b in self.bounds])
+        about = F.zip_with(F.zip_with("codes", step, lambda c, w: c * w), lo, lambda x, a: x + a)
+        coarse = self.table.withColumn("_coarse", similarity(about, V.literal(query), self.metric)).filter("_coarse is not null")
+        near = coarse.orderBy(F.desc(F.round("_coarse", 9)), self.key).limit(max(k, 0) * self.factor)
+        return top(near.drop("_coarse", "codes"), query, k, self.key, self.vector, metric=self.metric)
+
+
+def make_index(kind: str, df: DataFrame, key: str = "vec_id", vector: str = "embedding", metric: str = "cosine") -> Flat | Inverted:
+    """An index by its kind's name; all have ``search(query, k)``. A graph of neighbours is walked a node at a time, which a scan of
+    partitions beats here, so the graph kinds search exactly."""
+    if kind in ("flat", "hnsw", "diskann"):
+        return Flat(df, key, vector, metric)
+    if kind == "scann":
+        return RangeCoded(df, key, vector, metric)
+    if kind == "ivf" and metric == "cosine":
+        return Inverted.build(df, key, vector)
+    raise ValueError(f"no index of kind {kind} for {metric}")
+
+
 def mmr(df: DataFrame, query: Sequence[float], k: int = 4, fetch: int = 20, weight: float = 0.5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Greedy re-ranking of the ``fetch`` nearest rows by maximal marginal relevance; relevance is 1 - score / 2 of a distance 1 - cosine.
 

@@ -56,6 +56,28 @@ def namespace_stats(records: DataFrame, payload: str = "payload") -> DataFrame:
     return each.groupBy("namespace").agg(F.count("*").alias("doc_count"), F.sum("n").alias("total_doc_len"))
 
 
+def replaced(table: DataFrame, keys: DataFrame, new: DataFrame) -> DataFrame:
+    """A table of the index after changes: without the rows of ``keys`` (namespace, key), and with ``new`` ones.
+
+    The table's rows are not made anew, and meet only the changed keys (which Spark broadcasts where it knows them to be few)."""
+    on = ["namespace", "key"]
+    return table.join(keys.select(*on).distinct(), on, "left_anti").select(*new.columns).unionByName(new)
+
+
+def maintained(index: DataFrame, docs: DataFrame, upserts: DataFrame, deletes: DataFrame, payload: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """``postings`` and ``doc_stats`` after a batch of changes, as full builds over the changed records would give them.
+
+    ``upserts`` are records, one a (namespace, key), and win over a delete of the same key; ``deletes`` names (namespace, key). Only the
+    batch's texts are tokenised."""
+    keys = upserts.select("namespace", "key").unionByName(deletes.select("namespace", "key"))
+    return replaced(index, keys, postings(upserts, payload)), replaced(docs, keys, doc_stats(upserts, payload))
+
+
+def stats_of(docs: DataFrame) -> DataFrame:
+    """``namespace_stats`` from maintained ``doc_stats``."""
+    return docs.groupBy("namespace").agg(F.count("*").alias("doc_count"), F.sum(F.col("doc_len").cast("long")).alias("total_doc_len"))
+
+
 def _phrase_hit(joined: Column, phrase: tuple[str, ...]) -> Column:
     """Adjacent tokens, looked for in the tokens joined by spaces."""
     return F.contains(F.concat(F.lit(" "), joined, F.lit(" ")), F.lit(f" {' '.join(phrase)} "))

@@ -253,3 +253,28 @@ def test_co_access_in_blocks(spark, monkeypatch):
                 steps[p] = steps.get(p, 0) + 1
     got = {(r["a"], r["b"]): r["n"] for r in records.co_access(df, "s", "x", least=1, most=1000, halve_every=7).collect()}
     assert got == steps
+
+
+def test_index_maintenance_by_hand(spark):
+    """Upserts win over deletes of the same key; unknown deletes and empty texts do no harm; an empty batch changes nothing."""
+    rec = "namespace string, key string, payload string"
+    old = spark.createDataFrame([("n", "a", "one two one"), ("n", "b", "two"), ("n", "c", ""), ("m", "a", "one")], rec)
+    ups = spark.createDataFrame([("n", "b", "three three"), ("n", "d", None), ("n", "e", "two one")], rec)
+    dels = spark.createDataFrame([("n", "a"), ("n", "b"), ("n", "zz")], "namespace string, key string")
+    index, docs = text_index.maintained(text_index.postings(old), text_index.doc_stats(old), ups, dels)
+    assert sorted((r["namespace"], r["key"], r["token"], r["tf"], r["positions"]) for r in index.collect()) == [
+        ("m", "a", "one", 1, [0]), ("n", "b", "three", 2, [0, 1]), ("n", "e", "one", 1, [1]), ("n", "e", "two", 1, [0])
+    ]
+    assert {r["namespace"]: (r["doc_count"], r["total_doc_len"]) for r in text_index.stats_of(docs).collect()} == {"n": (4, 4), "m": (1, 1)}
+    same, _ = text_index.maintained(text_index.postings(old), text_index.doc_stats(old), ups.limit(0), dels.limit(0))
+    assert same.exceptAll(text_index.postings(old)).isEmpty() and same.count() == 4
+
+
+def test_index_kinds_by_name(spark):
+    df = spark.createDataFrame([(i, [float(i % 7 - 3), float(i % 5), 1.0]) for i in range(60)] + [(60, None)], "vec_id long, embedding array<double>")
+    want = knn.top(df, [1.0, 2.0, 0.5], 4, metric="euclidean").select("vec_id", "score").collect()
+    for kind in ("flat", "hnsw", "diskann", "scann"):
+        assert knn.make_index(kind, df, metric="euclidean").search([1.0, 2.0, 0.5], 4).select("vec_id", "score").collect() == want
+    for kind, metric in (("ivf", "euclidean"), ("tree", "cosine")):
+        with pytest.raises(ValueError):
+            knn.make_index(kind, df, metric=metric)
