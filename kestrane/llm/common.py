@@ -181,18 +181,20 @@ def pieces(batch: pa.RecordBatch, column: str, limit: int = 8 << 20) -> Iterator
         yield batch.slice(start)
 
 
-M_MMAP_THRESHOLD = -3  # of mallopt
+M_TRIM_THRESHOLD, M_MMAP_THRESHOLD = -1, -3  # of mallopt
 
 
-def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+def lean(run: Callable[[Iterator], Iterator], kept: int = 1 << 17) -> Callable[[Iterator], Iterator]:
     """A worker's function that gives memory back: arrays beyond a size get pages of their own, and what a task has freed is returned at its
-    end. Workers live on between tasks, and an executor's limit counts the idle ones, too."""
+    end, beyond ``kept`` bytes at once (the C library's own default). Workers live on between tasks, and an executor's limit counts the idle
+    ones, too."""
 
     def inner(batches: Iterator) -> Iterator:
         libc = None
         try:
             libc = ctypes.CDLL("libc.so.6")
             libc.mallopt(M_MMAP_THRESHOLD, 1 << 18)
+            libc.mallopt(M_TRIM_THRESHOLD, kept)
         except (OSError, AttributeError):  # another C library: nothing to tune
             pass
         try:

@@ -37,9 +37,14 @@ HEAD = 63  # characters of the first level
 PARTS = 12
 LEAST_STEPS = 300  # of a part in a round, on average, so that small corpora are learnt too
 SIZE = 1024  # of a mini-batch
+RUN = 1 << 14  # characters coded at a time
+LOOK = 1 << 18  # windows looked up at a time
+STEP = 1 << 11  # windows scored at a time
+STRIDE = 1 << 13  # weights moved at a time
 GROUP = 1 << 19  # windows that a task trains on at a time
 PIECE = 2 << 20  # bytes of text that a task works on at a time
-SLOTS = 21  # bits of the number of results that a worker keeps
+SLOTS = 22  # bits of the number of results that a worker keeps
+KEPT = 16 << 20  # freed memory that a worker keeps within a task
 
 
 def _points(texts: list[str]) -> np.ndarray:
@@ -58,7 +63,7 @@ def alphabet(df: DataFrame, text: str) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at])], names=["c", "n"])
 
-    found = df.select(F.col(text).alias("t")).mapInArrow(lean(count), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
+    found = df.select(F.col(text).alias("t")).mapInArrow(lean(count, KEPT), "c long, n long").groupBy("c").agg(F.sum("n").alias("n"))
     top = found.orderBy(F.desc("n"), "c").limit(CHARS).collect()
     return np.array([r["c"] for r in top], np.int64)
 
@@ -71,7 +76,19 @@ class Coder:
         self.token[chars] = 256 + np.arange(len(chars))
 
     def windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The window code of every token of all texts, and where each text's begin. A code's middle digit is the token itself."""
+        """The window code of every token of all texts, and where each text's begin. A code's middle digit is the token itself.
+        Texts are coded in runs short enough for a core's cache."""
+        ends = np.cumsum([0, *map(len, texts)])
+        runs, i = [], 0
+        while i < len(texts) or not runs:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + RUN, "right")) - 1)
+            runs.append(self._windows(texts[i:j]))
+            i = j
+        before = np.cumsum([0, *(len(codes) for codes, _ in runs)])
+        starts = [s[:-1] + b for (_, s), b in zip(runs, before, strict=False)]
+        return np.concatenate([codes for codes, _ in runs]), np.concatenate([*starts, before[-1:]])
+
+    def _windows(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         points = _points(texts)
         tokens = self.token[points].astype(np.int64)
         lengths = np.array([len(t) for t in texts], np.int64)
@@ -90,42 +107,57 @@ class Coder:
         padded = np.full(len(tokens) + SIDE * (1 + len(texts)), EDGE, np.int64)
         place = np.arange(len(tokens)) + np.repeat(SIDE * (1 + np.arange(len(texts))), lengths)
         padded[place] = tokens
-        # windows at every place, those of edges too, from slices; then the tokens' own are taken
+        # windows at every place, those of edges too, by doubling; then the tokens' own are taken
         place -= SIDE
-        out = np.zeros(max(0, len(padded) - 2 * SIDE), np.int64)
-        for k in range(2 * SIDE + 1):
-            c = padded[k : k + len(out)]
-            if some and k > SIDE:
-                c = c.copy()
-                c[place[left >= k - SIDE]] = MASK
-            out <<= BITS
-            out |= c
+        pairs = padded[:-1] << BITS
+        pairs |= padded[1:]
+        three = pairs[:-1] << BITS
+        three |= padded[2:]
+        out = three[: len(padded) - 2 * SIDE] << BITS
+        out |= padded[SIDE : len(padded) - SIDE]
+        out <<= SIDE * BITS
+        after = three[SIDE + 1 :]
+        if some:
+            for k in range(SIDE):  # bytes that follow in the character are hidden
+                shift = BITS * (SIDE - 1 - k)
+                at = place[left > k]
+                after[at] = after[at] & ~((CLASSES - 1) << shift) | MASK << shift
+        out |= after
         return out[place], starts
 
 
-def digits(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A window's neighbours (n, 6) and its middle (n)."""
-    d = np.stack([(codes >> (BITS * k)) & (CLASSES - 1) for k in range(2 * SIDE, -1, -1)], axis=1)
-    return np.delete(d, SIDE, axis=1), d[:, SIDE]
+def digit(codes: np.ndarray, k: int) -> np.ndarray:
+    """A window's token at place ``k``: 0 to 2 before its middle, 4 to 6 after it."""
+    return (codes >> (BITS * (2 * SIDE - k))) & (CLASSES - 1)
+
+
+NEAR = [k for k in range(2 * SIDE + 1) if k != SIDE]
+_EACH = np.arange(CLASSES)
+_FIRST = np.where((_EACH >= 256) & (_EACH < 256 + HEAD), _EACH - 256, HEAD)
+_SECOND = np.where(_EACH < 256, _EACH, _EACH - HEAD)
 
 
 def _levels(middle: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each token's number in the first level, the places of tokens of the second, and their numbers there."""
-    head = (middle >= 256) & (middle < 256 + HEAD)
-    at = np.flatnonzero(~head)
-    return np.where(head, middle - 256, HEAD), at, np.where(middle[at] < 256, middle[at], middle[at] - HEAD)
+    first = _FIRST[middle]
+    at = np.flatnonzero(first == HEAD)
+    return first, at, _SECOND[middle[at]]
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Of each column, in place."""
+    z -= z.max(0)
+    np.exp(z, out=z)
+    z /= z.sum(0)
+    return z
 
 
 def _log_softmax_at(z: np.ndarray, i: np.ndarray) -> np.ndarray:
-    """One value of each row, without the others'."""
-    z -= z.max(1, keepdims=True)
-    own = z[np.arange(len(z)), i]
-    return own - np.log(np.exp(z, out=z).sum(1))
+    """One value of each column, without the others'; ``z`` is used up."""
+    z -= z.max(0)
+    own = z[i, np.arange(z.shape[1])]
+    np.exp(z, out=z)
+    return own - np.log(z.sum(0))
 
 
 @dataclass
@@ -150,35 +182,61 @@ class Network:
     def arrays(self) -> list[np.ndarray]:
         return [self.embed, self.inner, self.inner_bias, self.outer, self.outer_bias, self.rest, self.rest_bias]
 
-    def hidden(self, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = np.concatenate([self.embed[k][near[:, k]] for k in range(2 * SIDE)], axis=1)
-        return x, np.tanh(x @ self.inner + self.inner_bias)
-
     def logs(self, codes: np.ndarray) -> np.ndarray:
         """The log-probability of each window's middle given its neighbours."""
-        out = np.empty(len(codes), np.float32)
+        return Scorer(self).logs(codes)
+
+
+class Scorer:
+    """Log-probabilities by a network that stays as it is. Windows are worked off in steps whose arrays are small and used again: fresh pages
+    for each step cost more than the arithmetic."""
+
+    def __init__(self, network: Network):
+        self.network = net = network
         # each neighbour's share of the hidden layer, so that a window's is a sum of six rows
-        shares = [self.embed[k] @ self.inner[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
-        for i in range(0, len(codes), 1 << 14):
-            near, middle = digits(codes[i : i + (1 << 14)])
-            h = np.take(shares[0], near[:, 0], axis=0) + self.inner_bias
-            for k in range(1, 2 * SIDE):
-                h += np.take(shares[k], near[:, k], axis=0)
+        self.shares = [net.embed[k] @ net.inner[k * EMBED : (k + 1) * EMBED] for k in range(2 * SIDE)]
+        self.shares[0] += net.inner_bias
+        self.h, self.one, self.z = (np.empty(STEP * width, np.float32) for width in (HIDDEN, HIDDEN, HEAD + 1))
+
+    def logs(self, codes: np.ndarray) -> np.ndarray:
+        net, out = self.network, np.empty(len(codes), np.float32)
+        for i in range(0, len(codes), STEP):
+            part = codes[i : i + STEP]
+            n = len(part)
+            h, one = (x[: n * HIDDEN].reshape(n, HIDDEN) for x in (self.h, self.one))
+            z = self.z[: n * (HEAD + 1)].reshape(HEAD + 1, n)
+            # digits are numbers of rows, so "clip" changes none; it writes without a copy between
+            np.take(self.shares[0], digit(part, NEAR[0]), axis=0, out=h, mode="clip")
+            for share, k in zip(self.shares[1:], NEAR[1:], strict=True):
+                h += np.take(share, digit(part, k), axis=0, out=one, mode="clip")
             np.tanh(h, out=h)
-            head, at, rest = _levels(middle)
-            own = _log_softmax_at(h @ self.outer + self.outer_bias, head)
+            head, at, rest = _levels(digit(part, SIDE))
+            np.matmul(net.outer.T, h.T, out=z)
+            z += net.outer_bias[:, None]
+            own = _log_softmax_at(z, head)
             if len(at):
-                own[at] += _log_softmax_at(h[at] @ self.rest + self.rest_bias, rest)
-            out[i : i + len(own)] = own
+                z = h[at] @ net.rest
+                z += net.rest_bias
+                own[at] += _log_softmax_at(z.T, rest)
+            out[i : i + n] = own
         return out
 
 
 class Trainer:
-    """Adam on mini-batches of windows."""
+    """Adam on mini-batches of windows. All weights, slopes and moments stand in one array each, and a batch's arrays are used again."""
 
     def __init__(self, net: Network, rate: float, seed: int):
-        self.net, self.rate, self.rng = Network(*[a.copy() for a in net.arrays()]), rate, np.random.default_rng(seed)
-        self.m, self.v, self.step = [np.zeros_like(a) for a in net.arrays()], [np.zeros_like(a) for a in net.arrays()], 0
+        self.rate, self.rng, self.step = rate, np.random.default_rng(seed), 0
+        flat = np.concatenate([a.ravel() for a in net.arrays()])
+        ends = np.cumsum([a.size for a in net.arrays()])[:-1]
+        parts = lambda x: Network(*[p.reshape(a.shape) for p, a in zip(np.split(x, ends), net.arrays(), strict=True)])
+        self.flat, self.slopes, self.m, self.v = flat, *(np.zeros_like(flat) for _ in range(3))
+        self.net, self.grad = parts(self.flat), parts(self.slopes)  # views
+        self.x, self.gx = (np.empty(SIZE * 2 * SIDE * EMBED, np.float32) for _ in range(2))
+        self.h, self.gh, self.bent = (np.empty(SIZE * HIDDEN, np.float32) for _ in range(3))
+        self.z, self.t = np.empty(SIZE * (HEAD + 1), np.float32), np.empty(STRIDE, np.float32)
+        self.near = np.empty(SIZE * 2 * SIDE, np.int64)
+        self.cells = np.empty(SIZE * 2 * SIDE * EMBED, np.int64)
 
     def learn(self, codes: np.ndarray, counts: np.ndarray, mean: float, passes: int) -> None:
         """Every window, as often as its count is of ``mean`` (once at least); a window's meetings in a pass weigh its count together."""
@@ -191,33 +249,68 @@ class Trainer:
                 self.batch(codes[part], weight[part])
 
     def batch(self, codes: np.ndarray, weight: np.ndarray) -> None:
-        net = self.net
-        near, middle = digits(codes)
-        n = np.arange(len(codes))
-        x, h = net.hidden(near)
-        head, at, rest = _levels(middle)
-        g = np.exp(_log_softmax(h @ net.outer + net.outer_bias))
-        g[n, head] -= 1
-        w = (weight / SIZE)[:, None]
+        net, grad, n, sides = self.net, self.grad, len(codes), 2 * SIDE
+        near = self.near[: n * sides].reshape(n, sides)  # rows of the six tables, one below the other
+        for j, k in enumerate(NEAR):
+            np.add(digit(codes, k), CLASSES * j, out=near[:, j])
+        x, gx = (a[: n * sides * EMBED].reshape(n, sides * EMBED) for a in (self.x, self.gx))
+        h, gh, bent = (a[: n * HIDDEN].reshape(n, HIDDEN) for a in (self.h, self.gh, self.bent))
+        z = self.z[: n * (HEAD + 1)].reshape(HEAD + 1, n)
+        np.take(net.embed.reshape(-1, EMBED), near, axis=0, out=x.reshape(n, sides, EMBED), mode="clip")
+        np.matmul(x, net.inner, out=h)
+        h += net.inner_bias
+        np.tanh(h, out=h)
+        head, at, rest = _levels(digit(codes, SIDE))
+        w = weight / np.float32(SIZE)
+        np.matmul(net.outer.T, h.T, out=z)
+        z += net.outer_bias[:, None]
+        g = _softmax(z)
+        g[head, np.arange(n)] -= 1
         g *= w
-        gh = g @ net.outer.T
-        gr, hr = np.zeros((0, CLASSES - HEAD), np.float32), h[at]
+        np.matmul(g.T, net.outer.T, out=gh)
+        np.matmul(h.T, g.T, out=grad.outer)
+        g.sum(1, out=grad.outer_bias)
         if len(at):
-            gr = np.exp(_log_softmax(hr @ net.rest + net.rest_bias))
-            gr[np.arange(len(at)), rest] -= 1
+            hr = h[at]
+            z = hr @ net.rest
+            z += net.rest_bias
+            gr = _softmax(z.T)
+            gr[rest, np.arange(len(at))] -= 1
             gr *= w[at]
-            gh[at] += gr @ net.rest.T
-        gh *= 1 - h * h
-        gx = gh @ net.inner.T
-        ge = np.empty_like(net.embed)
-        for k in range(2 * SIDE):
-            cell = near[:, k, None] * EMBED + np.arange(EMBED)
-            ge[k] = np.bincount(cell.ravel(), gx[:, k * EMBED : (k + 1) * EMBED].ravel(), CLASSES * EMBED).reshape(CLASSES, EMBED)
+            gh[at] += gr.T @ net.rest.T
+            np.matmul(hr.T, gr.T, out=grad.rest)
+            gr.sum(1, out=grad.rest_bias)
+        else:
+            grad.rest[:], grad.rest_bias[:] = 0, 0
+        np.multiply(h, h, out=bent)
+        np.subtract(1, bent, out=bent)
+        gh *= bent
+        np.matmul(x.T, gh, out=grad.inner)
+        gh.sum(0, out=grad.inner_bias)
+        np.matmul(gh, net.inner.T, out=gx)
+        near *= EMBED
+        cells = self.cells[: gx.size].reshape(n * sides, EMBED)
+        np.add(near.reshape(-1, 1), np.arange(EMBED), out=cells)
+        grad.embed[:] = 0
+        np.add.at(grad.embed.reshape(-1), cells.reshape(-1), gx.reshape(-1))
         self.step += 1
-        for a, grad, mi, vi in zip(net.arrays(), (ge, x.T @ gh, gh.sum(0), h.T @ g, g.sum(0), hr.T @ gr, gr.sum(0)), self.m, self.v, strict=True):
-            mi += 0.1 * (grad - mi)
-            vi += 0.001 * (grad * grad - vi)
-            a -= self.rate * (mi / (1 - 0.9**self.step)) / (np.sqrt(vi / (1 - 0.999**self.step)) + 1e-8)
+        rate, root = self.rate / (1 - 0.9**self.step), (1 - 0.999**self.step) ** -0.5
+        for i in range(0, self.flat.size, STRIDE):
+            a, d, m, v = (x[i : i + STRIDE] for x in (self.flat, self.slopes, self.m, self.v))
+            t = self.t[: len(a)]
+            np.multiply(d, d, out=t)
+            t -= v
+            t *= 0.001
+            v += t
+            d -= m
+            d *= 0.1
+            m += d
+            np.sqrt(v, out=t)
+            t *= root
+            t += 1e-8
+            np.divide(m, t, out=t)
+            t *= rate
+            a -= t
 
 
 @dataclass
@@ -234,9 +327,14 @@ def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 6_000
         codes, n = (np.concatenate(x) for x in zip(*held, strict=True))
         order = np.argsort(codes, kind="stable")  # each part is in order, so this merges
         codes, n = codes[order], n[order]
-        first = np.flatnonzero(np.diff(codes, prepend=-1))
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
         return codes[first], np.add.reduceat(n, first) if len(first) else n
 
+    def tallied(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        codes.sort()
+        first = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]][: len(codes)])
+        return codes[first], np.diff(first, append=len(codes))
+
     def rows(codes: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(codes), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(codes[i : i + (1 << 16)]), pa.array(n[i : i + (1 << 16)])], names=["code", "n"])
@@ -247,7 +345,7 @@ def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 6_000
         size = 0
         for batch in batches:
             for piece in pieces(batch, "t", PIECE):
-                held.append(np.unique(coder.windows([x.as_py() or "" for x in piece.column("t")])[0], return_counts=True))
+                held.append(tallied(coder.windows([x.as_py() or "" for x in piece.column("t")])[0]))
                 size += len(held[-1][0])
                 if size > most:
                     held = [summed(held)]
@@ -259,7 +357,7 @@ def window_counts(df: DataFrame, text: str, chars: np.ndarray, most: int = 6_000
             yield from rows(*summed(held))
 
     # tasks have summed their windows already, so the shuffle comes before the engine's own summing and not between its halves
-    own = df.select(F.col(text).alias("t")).mapInArrow(lean(count), "code long, n long")
+    own = df.select(F.col(text).alias("t")).mapInArrow(lean(count, KEPT), "code long, n long")
     return own.repartition("code").groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -306,7 +404,7 @@ def fit(df: DataFrame, text: str = "text", rounds: int = 3, rate: float = 0.01)
 
         # the order within a part is one that no scheduling changes, and unlike that of the codes
         dealt = counts.repartition(parts, F.xxhash64("code")).sortWithinPartitions(F.xxhash64("code", F.lit(1)), "code")
-        got = sorted(dealt.mapInArrow(lean(local), "w double, x binary").collect(), key=lambda r: r["x"])  # a row of fixed size for each part
+        got = sorted(dealt.mapInArrow(lean(local, KEPT), "w double, x binary").collect(), key=lambda r: r["x"])  # a row of fixed size for each part
         all_w = sum(r["w"] for r in got)
         flat = sum(np.frombuffer(r["x"], np.float32).astype(np.float64) * (r["w"] / all_w) for r in got).astype(np.float32)
         ends = np.cumsum([a.size for a in net.arrays()])
@@ -319,14 +417,25 @@ class Known:
     """Results by window, in a table of fixed size where a later window may take another's place; results don't depend on it."""
 
     def __init__(self, network: Network):
-        self.network = network
+        self.network = Scorer(network)
         self.codes, self.values = np.full(1 << SLOTS, -1, np.int64), np.zeros(1 << SLOTS, np.float32)
         self.owner = np.zeros(1 << SLOTS, np.int32)
+        self.hashed, self.held = np.empty(LOOK, np.uint64), np.empty(LOOK, np.int64)
 
     def logs(self, codes: np.ndarray) -> np.ndarray:
-        slot = ((codes.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOTS)).view(np.int64)
-        out = self.values[slot]
-        missed = np.flatnonzero(self.codes[slot] != codes)
+        out = np.empty(len(codes), np.float32)
+        for i in range(0, len(codes), LOOK):
+            self._look(codes[i : i + LOOK], out[i : i + LOOK])
+        return out
+
+    def _look(self, codes: np.ndarray, out: np.ndarray) -> None:
+        """Writes the windows' results to ``out``."""
+        hashed, held = self.hashed[: len(codes)], self.held[: len(codes)]
+        np.multiply(codes.view(np.uint64), np.uint64(0x9E3779B97F4A7C15), out=hashed)
+        hashed >>= np.uint64(64 - SLOTS)
+        slot = hashed.view(np.int64)
+        np.take(self.values, slot, out=out, mode="clip")
+        missed = np.flatnonzero(np.take(self.codes, slot, out=held, mode="clip") != codes)
         if len(missed):
             # of equal windows one is worked out: the last that claimed the slot, or each by itself where another window did
             own, at, i = codes[missed], slot[missed], np.arange(len(missed), dtype=np.int32)
@@ -339,7 +448,6 @@ class Known:
             out[missed] = np.where(same, found[of], found)
             self.values[at[new]] = found[new]
             self.codes[at[new]] = own[new]  # of windows that share a slot both arrays keep the last
-        return out
 
 
 def scored(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -367,4 +475,4 @@ def _scored(df: DataFrame, model: Model, text: str) -> DataFrame:
                     score[full] = np.add.reduceat(known.logs(codes).astype(np.float64), starts[full])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n), pa.array(score), pa.array(score / np.maximum(n, 1))], names=[*batch.schema.names, "_n_chars", "_log_likelihood", "_per_char"])
 
-    return df.mapInArrow(lean(run), schema)
+    return df.mapInArrow(lean(run, KEPT), schema)

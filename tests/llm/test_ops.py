@@ -350,6 +350,80 @@ def test_language_model_trains_on_every_window(spark, docs, monkeypatch):
     assert sum(gathered.values()) == sum(len(r["text"] or "") for r in docs.collect())
 
 
+def test_window_codes_by_hand():
+    """Codes of texts in several runs, with characters of one to four bytes, against a program that goes token by token."""
+    chars = np.array([ord(c) for c in "abc d"], np.int64)
+    texts = ["", "abc", "é", "a日\U0001f600b", "", "ЖaЖ\x00", "\U0001f600" * 3, "cab dé " * 6000, "d" * 40_000, "b日"]
+    expected, starts = [], [0]
+    for t in texts:
+        tokens = []  # (token, bytes that follow in its character)
+        for c in t:
+            some = [256 + list(chars).index(ord(c))] if ord(c) in chars else list(c.encode())
+            tokens += [(x, len(some) - 1 - i) for i, x in enumerate(some)]
+        for i, (token, left) in enumerate(tokens):
+            near = [tokens[j][0] if 0 <= j < len(tokens) else pll.EDGE for j in range(i - 3, i + 4)]
+            near[4 : 4 + left] = [pll.MASK] * left
+            assert near[3] == token and len(near) == 7
+            expected.append(sum(x << 9 * (6 - k) for k, x in enumerate(near)))
+        starts.append(len(expected))
+    codes, begin = pll.Coder(chars).windows(texts)
+    assert codes.tolist() == expected and begin.tolist() == starts
+
+
+def test_language_model_slope_by_differences():
+    """A training batch's slope against differences of the loss, worked out plainly in double precision."""
+    rng = np.random.default_rng(5)
+    codes = sum(rng.choice([10, 70, 254, 255, 256, 280, 318, 319, 511], 40).astype(np.int64) << 9 * k for k in range(7))
+    weight, net = rng.random(40).astype(np.float32), pll.Network.new()
+    for a in net.arrays():
+        a[:] = rng.standard_normal(a.shape) * 0.3
+    trainer = pll.Trainer(net, 0.01, 1)
+    trainer.batch(codes, weight)
+
+    def loss(arrays):
+        embed, inner, inner_bias, outer, outer_bias, rest, rest_bias = arrays
+        total = 0.0
+        for code, w in zip(codes.tolist(), weight.tolist(), strict=True):
+            d = [code >> 9 * (6 - k) & 511 for k in range(7)]
+            h = np.tanh(np.concatenate([embed[i][x] for i, x in enumerate(d[:3] + d[4:])]) @ inner + inner_bias)
+            log = lambda z: z - np.log(np.exp(z).sum())
+            first, second = log(h @ outer + outer_bias), log(h @ rest + rest_bias)
+            head = 256 <= d[3] < 256 + pll.HEAD
+            total -= w * (first[d[3] - 256] if head else first[pll.HEAD] + second[d[3] if d[3] < 256 else d[3] - pll.HEAD])
+        return total / pll.SIZE
+
+    arrays = [a.astype(np.float64) for a in net.arrays()]
+    slopes = np.split(10 * trainer.m, np.cumsum([a.size for a in arrays])[:-1])  # after one batch the first moment is a tenth of the slope
+    for a, slope in zip(arrays, slopes, strict=True):
+        for place in [np.abs(slope).argmax(), *rng.integers(0, a.size, 3)]:
+            own, got = a.flat[place], []
+            for e in (1e-5, -1e-5):
+                a.flat[place] = own + e
+                got.append(loss(arrays))
+            a.flat[place] = own
+            assert slope[place] == pytest.approx((got[0] - got[1]) / 2e-5, rel=1e-3, abs=1e-7)
+
+
+def test_language_model_uses_its_memory_again(spark):
+    """Once warm, a task that scores 131,072 windows and trains on 32,768 needs few fresh pages: they cost more than the arithmetic."""
+
+    def run(batches):
+        import resource
+
+        list(batches)
+        rng = np.random.default_rng(1)
+        codes = sum(rng.integers(256, 256 + pll.HEAD, 1 << 17) << 9 * k for k in range(7))
+        scorer, trainer = pll.Known(pll.Network.new()).network, pll.Trainer(pll.Network.new(), 0.01, 1)
+        for _ in range(2):
+            before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+            scorer.logs(codes)
+            trainer.learn(codes[: 1 << 15], np.ones(1 << 15, np.int64), 1.0, 1)
+        yield pa.RecordBatch.from_arrays([pa.array([resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before])], names=["n"])
+
+    faults = spark.range(1).mapInArrow(pll.lean(run), "n long").head()["n"]
+    assert faults < 5000
+
+
 def test_classifier_risk_by_hand():
     """The prior of known mixtures; and one training step against the risk's gradient by finite differences."""
     rng = np.random.default_rng(1)
