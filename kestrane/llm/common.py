@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import batches_bounded  # noqa: F401 - operators take it from here
+
 #: ``[^\x20\x09-\x0D]+`` is a word; this is what stands between words.
 SEPARATORS = " \t\n\x0b\f\r"
 SEPARATOR_RUN = r"[\x20\x09-\x0D]+"
@@ -51,18 +53,6 @@ def beside(df: DataFrame, added: Sequence[str], used: Sequence[str], work: Calla
     return out.select(*[quoted(moved.get(c, c)).alias(c) for c in df.columns], *[quoted(c).alias(free(df.columns, c)) for c in added])
 
 
-def batches_bounded(spark: SparkSession, rows: int = 2000, size: int = 2 << 20) -> None:
-    """Arrow batches hold a bounded number of rows and bytes (one longer row stands alone), so that a Python worker's memory follows neither
-    the row count nor the length of texts. The settings stay lower for the session, as plans read them when they run."""
-    conf = spark.conf
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= rows:
-        conf.set(key, str(rows))
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(conf.get(key, "67108864").rstrip("bB")) <= size:
-        conf.set(key, f"{size}b")
-
-
 class Scratch:
     """Tables in the folder that the cluster names in ``spark.checkpoint.dir``; a temporary folder serves only a session on one machine
     that names none, as in tests. A result's own last table stays, since the result is read from it; the folder is the cluster's to clear.

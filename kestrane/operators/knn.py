@@ -1,22 +1,26 @@
 """Vector search. Single queries are one scan with a top-k; batches of queries meet the table in numpy blocks, each partition keeping k a query.
 
 Scores are higher for nearer: cosine, or minus the Euclidean distance. Rows whose vector is null or of another length are skipped. A query
-batch is broadcast only up to ``MAX_QUERIES`` vectors; a larger one is worked off in blocks of that size.
+batch is broadcast only up to about ``MAX_QUERIES`` vectors or ``MAX_VALUES`` numbers; a larger one is worked off in blocks of that size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..session import kept
+from ..session import batches_bounded, kept
 
 MAX_QUERIES = 10_000
+#: Numbers that a block of queries and its results hold at most (one query alone may hold more); queries and rows that are scored at once.
+MAX_VALUES, TILE = 1_000_000, (512, 2048)
 
 
 def similarity(vector: Column, query: Column, metric: str = "cosine") -> Column:
@@ -36,59 +40,148 @@ def top(df: DataFrame, query: Sequence[float], k: int, key: str = "vec_id", vect
     return a.orderBy(F.desc("score"), key).limit(max(k, 0))
 
 
+class Nearest:
+    """The k best rows so far of each of some queries of one length, whatever number of rows comes.
+
+    Scores of ``TILE`` queries and rows are in memory at once, and what may be among the k best of them: nearer than the k-th less what rounding
+    can move. Only for those is the score worked out as ``similarity`` says, so Euclidean distances are exact where norms are large.
+    """
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int, metric: str, skip_self: bool):
+        self.ids, self.q, self.k, self.metric, self.skip_self = ids, q, k, metric, skip_self
+        with np.errstate(all="ignore"):
+            self.near, self.size = self._prepared(q)
+        self.keys, self.scores = np.zeros((len(q), k), np.int64), np.full((len(q), k), -np.inf)
+        self.have = np.zeros(len(q), np.int64)
+
+    def _prepared(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What products are formed of, and lengths: unit vectors and lengths for cosines, else vectors and squared lengths."""
+        if self.metric != "cosine":
+            return x, (x**2).sum(1)
+        size = np.linalg.norm(x, axis=1)
+        return np.divide(x, size[:, None], out=np.zeros_like(x), where=size[:, None] != 0), size
+
+    def add(self, keys: np.ndarray, x: np.ndarray) -> None:
+        with np.errstate(all="ignore"):
+            for j in range(0, len(x), TILE[1]):
+                own = slice(j, j + TILE[1])
+                near, size = self._prepared(x[own])
+                for i in range(0, len(self.q), TILE[0]):
+                    self._tile(slice(i, min(i + TILE[0], len(self.q))), keys[own], x[own], near, size)
+
+    def _tile(self, at: slice, keys: np.ndarray, x: np.ndarray, near: np.ndarray, size: np.ndarray) -> None:
+        s, slack = self.near[at] @ near.T, 1.1e-6
+        if self.metric != "cosine":  # by norms, so that no array holds queries x rows x dimensions
+            s *= -2
+            s += self.size[at][:, None]
+            s += size
+            slack += 2 * np.sqrt(1e-15 * x.shape[1] * (_largest(self.size[at]) + _largest(size)))
+            s = -np.sqrt(np.maximum(s, 0.0, out=s), out=s)
+        odd = ~np.isfinite(s)  # vectors that aren't finite: all of their pairs are looked at
+        some = bool(odd.any())
+        if some:
+            s[odd] = -np.inf
+        same = self.ids[at][:, None] == keys if self.skip_self else None
+        if same is not None:
+            s[same] = -np.inf
+        least = np.where(self.have[at] == self.k, self.scores[at, -1], -np.inf) - slack
+        may = s >= least[:, None]
+        if s.shape[1] > self.k and np.count_nonzero(may) > 4 * self.k * len(s):
+            least = np.maximum(least, np.partition(s, s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] - slack)
+            may = s >= least[:, None]
+        if some:
+            may |= odd
+        if same is not None:
+            may &= ~same
+        qi, ri = np.nonzero(may)
+        if len(qi):
+            self._merge(qi + at.start, keys[ri], np.round(self._scores(qi + at.start, x, ri, s[qi, ri], size), 6))
+
+    def _scores(self, qi: np.ndarray, x: np.ndarray, ri: np.ndarray, s: np.ndarray, size: np.ndarray) -> np.ndarray:
+        again = np.flatnonzero(np.isneginf(s)) if self.metric == "cosine" else np.arange(len(s))
+        step = max(1, (1 << 20) // max(1, x.shape[1]))
+        for i in range(0, len(again), step):
+            n = again[i : i + step]
+            a, b = self.q[qi[n]], x[ri[n]]
+            s[n] = (a * b).sum(1) / (self.size[qi[n]] * size[ri[n]]) if self.metric == "cosine" else -np.sqrt(((a - b) ** 2).sum(1))
+        return s
+
+    def _merge(self, qi: np.ndarray, keys: np.ndarray, scores: np.ndarray) -> None:
+        scores[np.isnan(scores)] = np.inf  # as Spark and SQL order them; no score is infinite upwards
+        touched = np.unique(qi)
+        old, place = np.nonzero(np.arange(self.k) < self.have[touched][:, None])
+        old = touched[old]
+        qi, keys, scores = np.concatenate([old, qi]), np.concatenate([self.keys[old, place], keys]), np.concatenate([self.scores[old, place], scores])
+        order = np.lexsort((keys, -scores, qi))
+        qi, keys, scores = qi[order], keys[order], scores[order]
+        place = np.arange(len(qi)) - np.searchsorted(qi, qi)
+        best = place < self.k
+        qi, place = qi[best], place[best]
+        self.keys[qi, place], self.scores[qi, place] = keys[best], scores[best]
+        self.have[touched] = np.bincount(np.searchsorted(touched, qi), minlength=len(touched))
+
+    def rows(self) -> pa.RecordBatch:
+        qi, place = np.nonzero(np.arange(self.k) < self.have[:, None])
+        scores = self.scores[qi, place]
+        scores[np.isposinf(scores)] = np.nan
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[qi]), pa.array(self.keys[qi, place]), pa.array(scores)], names=["query_id", "key", "score"])
+
+
+def _largest(x: np.ndarray) -> float:
+    """The largest of the finite values."""
+    return float(np.max(x, initial=0.0, where=np.isfinite(x)))
+
+
 def batch(df: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", query_key: str = "query_id", query_vector: str = "embedding", metric: str = "cosine", skip_self: bool = False) -> DataFrame:
-    """(query_id, key, score, rank): the k nearest of every query. Each partition is met by a block of queries in one matrix product and
-    hands on k rows a query, so what is shuffled follows queries times partitions, not rows."""
+    """(query_id, key, score, rank): the k nearest of every query, exactly.
+
+    Rows are dealt evenly over the cluster's cores; each task meets them with a block of queries in tiles (``Nearest``), so its memory follows
+    neither table, and hands on k rows a query. Rows without a key, and vectors with a null within, are skipped.
+    """
+    if metric not in ("cosine", "euclidean", "l2"):
+        raise ValueError(f"unknown metric {metric}")
     spark = df.sparkSession
-    n = queries.count()
-    if n > MAX_QUERIES:
-        parts = -(-n // MAX_QUERIES)
-        share = F.pmod(F.xxhash64(query_key), F.lit(parts))
-        out = None
-        for i in range(parts):
-            one = batch(df, queries.filter(share == i), k, key, vector, query_key, query_vector, metric, skip_self)
-            out = one if out is None else out.unionByName(one)
-        return out
-    rows = queries.select(F.col(query_key).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v is not null").collect()
-    shared = spark.sparkContext.broadcast((np.array([r["q"] for r in rows], np.int64), [np.array(r["v"], np.float64) for r in rows]))
+    if k <= 0:
+        return spark.createDataFrame([], "query_id long, key long, score double, rank int")
+    batches_bounded(spark)
+
+    def vectors(a: DataFrame, name: str, value: str) -> DataFrame:
+        a = a.select(F.col(name).cast("long").alias("key"), V.doubles(F.col(value)).alias("v"))
+        return a.filter(F.col("key").isNotNull() & (F.size("v") > 0) & ~F.exists("v", lambda x: x.isNull()))
+
+    wanted = vectors(queries, query_key, query_vector)
+    n, dims = wanted.agg(F.count("*"), F.max(F.size("v"))).head()
+    parts = max(1, -(-n // max(1, min(MAX_QUERIES, MAX_VALUES // ((dims or 0) + 2 * k)))))
+    table = vectors(df, key, vector).repartition(2 * spark.sparkContext.defaultParallelism, "key")  # one exchange for all blocks
+    local = None
+    for i in range(parts):
+        rows = wanted.filter(F.pmod(F.xxhash64("key"), F.lit(parts)) == i).collect()
+        by_dim: dict[int, list] = {}
+        for r in rows:
+            by_dim.setdefault(len(r["v"]), []).append(r)
+        shared = spark.sparkContext.broadcast([(np.array([r["key"] for r in own], np.int64), np.array([r["v"] for r in own], np.float64)) for own in by_dim.values()])
+        one = table.mapInArrow(_nearest(shared, k, metric, skip_self), "query_id long, key long, score double")
+        local = one if local is None else local.unionByName(one)
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
+
+def _nearest(shared: Broadcast, k: int, metric: str, skip_self: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, vs = shared.value
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        by_dim: dict[int, np.ndarray] = {}
-        for i, v in enumerate(vs):
-            by_dim.setdefault(len(v), []).append(i)  # type: ignore[union-attr]
+        best = [Nearest(ids, q, k, metric, skip_self) for ids, q in shared.value]
         for b in batches:
-            keys = b.column("key").to_numpy(zero_copy_only=False)
-            col = b.column("v")
-            sizes = np.diff(col.offsets.to_numpy())
-            for dim, at in by_dim.items():
-                own = np.flatnonzero((sizes == dim) & np.asarray(col.is_valid()))
-                if not len(own) or not dim:
-                    continue
-                x = np.stack([np.asarray(col[int(i)].values.to_numpy(zero_copy_only=False), np.float64) for i in own]) if len(own) != len(sizes) else np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
-                q = np.stack([vs[i] for i in at])
-                if metric == "cosine":
-                    under = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None]
-                    s = np.divide(q @ x.T, under, out=np.zeros((len(q), len(x))), where=under > 0)
-                else:  # by norms, so that no array holds queries x rows x dimensions
-                    s = -np.sqrt(np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * (q @ x.T), 0.0))
-                s = np.round(s, 6)
-                for j, i in enumerate(at):
-                    mine, score = keys[own], s[j]
-                    if skip_self:
-                        other = mine != ids[i]
-                        mine, score = mine[other], score[other]
-                    if i in best:
-                        mine, score = np.concatenate([best[i][0], mine]), np.concatenate([best[i][1], score])
-                    order = np.lexsort((mine, -score))[:k]
-                    best[i] = (mine[order], score[order])
-        for i, (mine, score) in best.items():
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(mine), ids[i])), pa.array(mine, pa.int64()), pa.array(score, pa.float64())], names=["query_id", "key", "score"])
-
-    local = df.select(F.col(key).cast("long").alias("key"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "query_id long, key long, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
-    return local.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            keys, col = b.column("key").to_numpy(), b.column("v")
+            sizes = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+            for one in best:
+                dim = one.q.shape[1]
+                own = np.flatnonzero(sizes == dim)
+                if len(own):
+                    of = col if len(own) == len(sizes) else col.take(pa.array(own))
+                    one.add(keys[own], of.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+        for one in best:
+            yield one.rows()
+
+    return run
 
 
 def similar_to_key(df: DataFrame, key_value: int, k: int, key: str = "vec_id", vector: str = "embedding", keep: Column | None = None) -> DataFrame:

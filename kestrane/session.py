@@ -1,4 +1,4 @@
-"""Session defaults, and tables that cut a plan's lineage."""
+"""Session defaults, bounds of Arrow batches, and tables that cut a plan's lineage."""
 
 from __future__ import annotations
 
@@ -23,6 +23,18 @@ def local_session(cores: int = 8, memory: str = "8g", **conf: str) -> SparkSessi
     return spark
 
 
+def batches_bounded(spark: SparkSession, rows: int = 2000, size: int = 2 << 20) -> None:
+    """Arrow batches hold a bounded number of rows and bytes (one longer row stands alone), so that a Python worker's memory follows neither
+    the row count nor the length of texts. The settings stay lower for the session, as plans read them when they run."""
+    conf = spark.conf
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(conf.get(key, "67108864").rstrip("bB")) <= size:
+        conf.set(key, f"{size}b")
+
+
 def scratch_path(spark: SparkSession, kind: str) -> str:
     """A new path in the shared folder that ``spark.checkpoint.dir`` names. A temporary folder serves only a session on one machine that
     names none (tests); elsewhere executors would not see each other's files."""

@@ -278,3 +278,60 @@ def test_index_kinds_by_name(spark):
     for kind, metric in (("ivf", "euclidean"), ("tree", "cosine")):
         with pytest.raises(ValueError):
             knn.make_index(kind, df, metric=metric)
+
+
+def _brute(x, q, i, k, metric):
+    with np.errstate(all="ignore"):
+        if metric == "cosine":
+            under = np.linalg.norm(x, axis=1) * np.linalg.norm(q)
+            s = np.divide(x @ q, under, out=np.zeros(len(x)), where=under != 0)
+        else:
+            s = -np.sqrt(((x - q) ** 2).sum(1))
+    s = np.where(np.isnan(s), np.inf, np.round(s, 6))
+    return [(j, s[j]) for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (-s[j], j))[:k]]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_in_tiles(metric, monkeypatch):
+    """Tiles smaller than the tables, equal rows, zeros, large norms and odd numbers: what brute force finds, with ties by key."""
+    monkeypatch.setattr(knn, "TILE", (16, 32))
+    x = np.random.default_rng(3).standard_normal((300, 6))
+    x[40:90] = x[7]
+    x[90:95] = 0.0
+    x[100:140] = 1e5 + x[:40] / 1e3
+    x[200, 2], x[201, 1], x[202, 0] = np.nan, np.inf, -np.inf
+    at = np.arange(0, 300, 3)
+    best = knn.Nearest(at, x[at], 8, metric, True)
+    for i in range(0, 300, 70):
+        best.add(np.arange(i, min(i + 70, 300)), x[i : i + 70])
+    got = {}
+    for r in best.rows().to_pylist():
+        got.setdefault(r["query_id"], []).append((r["key"], np.inf if np.isnan(r["score"]) else r["score"]))
+    assert got == {i: _brute(x, x[i], i, 8, metric) for i in at.tolist()}
+
+
+def test_nearest_takes_bounded_memory():
+    """A batch of 4,000 queries and rows of 10,000: all scores of it would take 320 MB."""
+    import tracemalloc
+
+    x = np.random.default_rng(4).standard_normal((10_000, 8))
+    best = knn.Nearest(np.arange(4000), x[:4000], 5, "euclidean", True)
+    tracemalloc.start()
+    best.add(np.arange(10_000), x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120 << 20
+
+
+def test_batches_in_blocks(spark, monkeypatch):
+    """Blocks of queries give what one block gives; rows without a key or with a null within are skipped; lengths don't mix."""
+    x = np.random.default_rng(6).standard_normal((80, 4)).tolist()
+    rows = [(i, v) for i, v in enumerate(x)] + [(None, x[0]), (200, [1.0, None, 1.0, 1.0]), (201, [1.0, 2.0]), (202, [2.0, 1.0]), (203, None), (204, [])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = df.filter("vec_id % 2 = 0 or vec_id > 80").withColumnRenamed("vec_id", "query_id")
+    whole = sorted(map(tuple, knn.batch(df, queries, 3, skip_self=True).collect()))
+    monkeypatch.setattr(knn, "MAX_VALUES", 100)
+    blocks = knn.batch(df, queries, 3, skip_self=True)
+    assert sorted(map(tuple, blocks.collect())) == whole and len(whole) == 40 * 3 + 2
+    assert {(r[0], r[1]) for r in whole if r[0] > 80} == {(201, 202), (202, 201)}
+    assert knn.batch(df, queries, 0).isEmpty()
