@@ -430,7 +430,7 @@ def _quality(spark: SparkSession, sf: str) -> DataFrame:
     """Vectors of the same label count as relevant."""
     e = embeddings(spark, sf)
     q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding", F.col("label").alias("own"))
-    ranked = knn.batch(e, q, 10, skip_self=True)
+    ranked = kept(knn.batch(e, q, 10, skip_self=True))  # read twice
     labels = e.select(F.col("vec_id").alias("key"), "label")
     hits = ranked.join(q.select("query_id", "own"), "query_id").join(labels, "key").filter("own = label").select("query_id", "key")
     sizes = labels.groupBy(F.col("label").alias("own")).agg((F.count("*") - 1).alias("relevant"))
