@@ -7,15 +7,21 @@ namespace; the materialised index (``postings``) is for tables that are searched
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import batches_bounded
 
 K1, B = 1.2, 0.75
+POSTING = ("namespace", "key", "token", "tf", "positions", "doc_len")
 
 
 @dataclass(frozen=True)
@@ -34,11 +40,121 @@ def plan(query: str) -> TextQuery:
     return TextQuery(tuple(sorted(set(T.token_list(query)))), tuple(p for p in phrases if p))
 
 
+def _by_token(tokens: Column) -> Column:
+    """[(token, tf, positions)] of one row's tokens: sorted, and cut where the next token begins."""
+
+    def cut(s: Column) -> Column:
+        n = F.size(s)
+        heads = F.filter(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>")), lambda i: (i == 1) | (F.get(s, i - 1)["token"] != F.get(s, i - 2)["token"]))
+
+        def one(at: Column) -> Column:
+            def run(i: Column, j: Column) -> Column:
+                tf = F.coalesce(F.get(at, j + 1), n + 1) - i
+                return F.struct(F.get(s, i - 1)["token"].alias("token"), tf.alias("tf"), F.transform(F.slice(s, i, tf), lambda x: x["pos"]).alias("positions"))
+
+            return F.transform(at, run)
+
+        return _let(heads, one)
+
+    return _let(F.sort_array(F.transform(tokens, lambda t, i: F.struct(t.alias("token"), i.alias("pos")))), cut)
+
+
+def _let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.transform(F.array(x), body)[0]
+
+
 def postings(records: DataFrame, payload: str = "payload") -> DataFrame:
-    """(namespace, token, key, tf, positions, doc_len): one row for each token of each record."""
-    t = records.select("namespace", "key", T.tokens(F.col(payload)).alias("tokens"))
-    each = t.select("namespace", "key", F.size("tokens").alias("doc_len"), F.posexplode("tokens").alias("pos", "token"))
-    return each.groupBy("namespace", "key", "token").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("doc_len").alias("doc_len"))
+    """(namespace, token, key, tf, positions, doc_len): one row for each token of each record.
+
+    Tokens are brought together within each row, so nothing but the keys is shuffled, to see which name more than one record; only the rows
+    of those are merged.
+    """
+
+    def each(a: DataFrame) -> DataFrame:
+        t = a.select("namespace", "key", T.tokens(F.col(payload)).alias("tokens"))
+        # the outer form, for which Spark infers no filter that would work everything out once more
+        return t.select("namespace", "key", F.size("tokens").alias("doc_len"), F.inline_outer(_by_token(F.col("tokens")))).filter("token is not null").select(*POSTING)
+
+    again = records.groupBy("namespace", "key").agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col("namespace").alias("_ns"), F.col("key").alias("_key"))
+    if again.isEmpty():
+        return each(records)
+    same = F.col("namespace").eqNullSafe(F.col("_ns")) & F.col("key").eqNullSafe(F.col("_key"))
+    rows = each(records.join(again, same, "left_semi")).groupBy("namespace", "key", "token")
+    merged = rows.agg(F.sum("tf").cast("int").alias("tf"), F.sort_array(F.flatten(F.collect_list("positions"))).alias("positions"), F.first("doc_len").alias("doc_len"))
+    return each(records.join(again, same, "left_anti")).unionByName(merged)
+
+
+#: Between packed tokens. Rows whose token has it, or that lack a value, are packed as they are.
+_APART = "\x01"
+_PACKED = "namespace string, key string, doc_len int, tokens string, tfs string, places string, rest array<struct<token:string,tf:int,positions:array<int>,doc_len:int>>"
+#: Rows that are packed at once.
+PACK_ROWS = 65_536
+
+
+def packed(index: DataFrame) -> DataFrame:
+    """Rows of ``postings`` for a shuffle by record: adjoining rows of one record become one row, their tokens and numbers one text each.
+
+    An index in the order of its records shrinks to a fraction; one in another order keeps its number of rows. Nothing is sorted.
+    """
+    batches_bounded(index.sparkSession, 10_000, 2 << 20)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size >= PACK_ROWS:
+                yield _packed(held)
+                held, size = [], 0
+        if size:
+            yield _packed(held)
+
+    columns = [F.col("namespace").cast("string"), F.col("key").cast("string"), F.col("token").cast("string"), F.col("tf").cast("int"), F.col("positions").cast("array<int>"), F.col("doc_len").cast("int")]
+    return index.select(*[c.alias(n) for c, n in zip(columns, POSTING, strict=True)]).mapInArrow(run, _PACKED)
+
+
+def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    b = pa.Table.from_batches(batches).combine_chunks()
+    col = {n: b.column(n).combine_chunks() if not isinstance(c := b.column(n), pa.ChunkedArray) or c.num_chunks != 1 else c.chunk(0) for n in POSTING}
+    n = b.num_rows
+    flat = col["positions"].flatten()
+    sizes = pc.list_value_length(col["positions"])
+    plain = not any(col[c].null_count for c in ("token", "tf", "positions", "doc_len")) and not flat.null_count
+    plain = plain and not pc.any(pc.match_substring(col["token"], _APART)).as_py()
+    code = [pc.fill_null(pc.dictionary_encode(col[c]).indices, -1).to_numpy(zero_copy_only=False) for c in ("namespace", "key")]
+    code += [col["doc_len"].to_numpy(zero_copy_only=False)] if plain else []
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in code])
+    heads = np.flatnonzero(new)
+    runs = pa.array(np.append(heads, n), pa.int32())
+    none = pa.nulls(len(heads), pa.string())
+    fields = [pa.field(c, col[c].type) for c in ("token", "tf", "positions", "doc_len")]
+    kind = pa.list_(pa.struct(fields))
+    texts, rest = [none, none, none], pa.nulls(len(heads), kind)
+    if plain:
+        joined = lambda x, ends, by: pc.binary_join(pa.ListArray.from_arrays(ends, x), by)
+        ends = pa.array(np.append(0, np.cumsum(sizes.to_numpy(zero_copy_only=False))), pa.int32())
+        tfs = none if pc.all(pc.equal(col["tf"], sizes)).as_py() else joined(pc.cast(col["tf"], pa.string()), runs, ",")
+        texts = [joined(col["token"], runs, _APART), tfs, joined(joined(pc.cast(flat, pa.string()), ends, ","), runs, ";")]
+    else:
+        rest = pa.ListArray.from_arrays(runs, pa.StructArray.from_arrays([col[f.name] for f in fields], fields=fields))
+    at = pa.array(heads)
+    length = col["doc_len"].take(at) if plain else pa.nulls(len(heads), pa.int32())
+    return pa.RecordBatch.from_arrays([col["namespace"].take(at), col["key"].take(at), length, *texts, rest], names=["namespace", "key", "doc_len", "tokens", "tfs", "places", "rest"])
+
+
+def unpacked(rows: DataFrame, *beside: str) -> DataFrame:
+    """What ``packed`` packed, with the columns ``beside``."""
+    ints = lambda x: F.when(x == "", F.array().cast("array<int>")).otherwise(F.split(x, ",").cast("array<int>"))
+
+    def numbered(places: Column) -> Column:
+        tf = lambda tfs: F.transform(F.split("tokens", _APART), lambda t, i: _let(ints(F.get(places, i)), lambda p: F.struct(t.alias("token"), F.coalesce(F.get(tfs, i), F.size(p)).alias("tf"), p.alias("positions"), F.col("doc_len"))))
+        return _let(F.split("tfs", ",").cast("array<int>"), tf)
+
+    each = F.coalesce("rest", _let(F.split("places", ";"), numbered))
+    return rows.select("namespace", "key", *beside, F.inline_outer(each)).select(*POSTING, *beside)  # outer: as in postings, and no row is empty
 
 
 def doc_stats(records: DataFrame, payload: str = "payload") -> DataFrame:
@@ -68,9 +184,10 @@ def maintained(index: DataFrame, docs: DataFrame, upserts: DataFrame, deletes: D
     """``postings`` and ``doc_stats`` after a batch of changes, as full builds over the changed records would give them.
 
     ``upserts`` are records, one a (namespace, key), and win over a delete of the same key; ``deletes`` names (namespace, key). Only the
-    batch's texts are tokenised."""
+    batch's texts are tokenised, and postings meet the changed keys in packed rows."""
     keys = upserts.select("namespace", "key").unionByName(deletes.select("namespace", "key"))
-    return replaced(index, keys, postings(upserts, payload)), replaced(docs, keys, doc_stats(upserts, payload))
+    stay = packed(index).join(keys.distinct(), ["namespace", "key"], "left_anti")
+    return unpacked(stay).unionByName(postings(upserts, payload)), replaced(docs, keys, doc_stats(upserts, payload))
 
 
 def stats_of(docs: DataFrame) -> DataFrame:
@@ -158,14 +275,19 @@ def explained(records: DataFrame, query: str, k: int) -> DataFrame:
     return out.withColumn("snippet", T.snippet(F.col("payload"), list(q.terms))).drop("payload")
 
 
+def _met(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """(namespace, key, token, x, y): a full outer join, with null keys equal. One shuffle of packed rows by record serves both sides."""
+    sides = [packed(a).withColumn("_side", F.lit(i)) for i, a in enumerate((expected, actual))]
+    rows = unpacked(sides[0].unionByName(sides[1]).repartition("namespace", "key"), "_side")
+    own = lambda i: F.collect_list(F.when(F.col("_side") == i, F.struct("tf", "positions", "doc_len")))
+    both = rows.groupBy("namespace", "key", "token").agg(own(0).alias("x"), own(1).alias("y"))
+    return both.withColumn("x", F.explode_outer("x")).withColumn("y", F.explode_outer("y"))
+
+
 def audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """One row of counts: postings missing, unexpected, and differing in tf, positions or length."""
-    on = ["namespace", "key", "token"]
-    x = expected.select(*on, F.struct("tf", "positions", "doc_len").alias("x"))
-    y = actual.select(*on, F.struct("tf", "positions", "doc_len").alias("y"))
-    both = x.join(y, on, "full_outer")
     here = F.col("x").isNotNull() & F.col("y").isNotNull()
-    return both.agg(
+    return _met(expected, actual).agg(
         F.count_if(F.col("y").isNull()).alias("missing"),
         F.count_if(F.col("x").isNull()).alias("unexpected"),
         F.count_if(here & (F.col("x.tf") != F.col("y.tf"))).alias("tf_errors"),
@@ -176,7 +298,5 @@ def audit(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 def repaired(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """The index as it should be, and how each row came about: kept, rewritten or added."""
-    on = ["namespace", "key", "token"]
-    y = actual.select(*on, F.struct("tf", "positions", "doc_len").alias("y"))
-    how = F.when(F.col("y").isNull(), "added").when(F.col("y") == F.struct("tf", "positions", "doc_len"), "kept").otherwise("rewritten")
-    return expected.join(y, on, "left").withColumn("repair", how).drop("y")
+    how = F.when(F.col("y").isNull(), "added").when(F.col("y") == F.col("x"), "kept").otherwise("rewritten")
+    return _met(expected, actual).filter("x is not null").select("namespace", "key", "token", "x.*", how.alias("repair"))

@@ -335,3 +335,33 @@ def test_batches_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, blocks.collect())) == whole and len(whole) == 40 * 3 + 2
     assert {(r[0], r[1]) for r in whole if r[0] > 80} == {(201, 202), (202, 201)}
     assert knn.batch(df, queries, 0).isEmpty()
+
+
+def test_postings_without_a_shuffle_of_tokens(spark):
+    """Only keys are shuffled where no key is met twice; rows of a key that is met twice become one record's postings."""
+    rec = "namespace string, key string, payload string"
+    df = spark.createDataFrame([("n", "a", "b a b"), (None, "a", "x"), ("n", "c", ""), ("n", "d", None)], rec)
+    index = text_index.postings(df)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    got = lambda a: sorted((r["namespace"] or "", r["key"], r["token"], r["tf"], r["positions"]) for r in a.collect())
+    assert got(index) == [("", "a", "x", 1, [0]), ("n", "a", "a", 1, [1]), ("n", "a", "b", 2, [0, 2])]
+    twice = df.unionByName(spark.createDataFrame([("n", "a", "c b"), (None, "a", "x")], rec))
+    assert got(text_index.postings(twice)) == [("", "a", "x", 2, [0, 0]), ("n", "a", "a", 1, [1]), ("n", "a", "b", 3, [0, 1, 2]), ("n", "a", "c", 1, [0])]
+
+
+def test_packed_postings(spark, monkeypatch):
+    """Any rows come back from their packed form, and records in order become a row each; damage of any kind is found."""
+    monkeypatch.setattr(text_index, "PACK_ROWS", 50)
+    texts = [("n" if i % 3 else None, str(i), " ".join(f"t{j % (i + 1)}" for j in range(40))) for i in range(30)]
+    index = text_index.postings(spark.createDataFrame(texts, "namespace string, key string, payload string").coalesce(1))
+    odd = spark.createDataFrame([("n", "1", "a\x01b", 1, [1], 2), ("n", "1", None, 1, [1], 2), ("m", None, "z", None, None, None), ("m", "2", "e", 3, [], 1), ("m", "2", "", 1, [4, None], 7)], "namespace string, key string, token string, tf int, positions array<int>, doc_len int")
+    for a in (index, odd, index.unionByName(odd), odd.filter("tf = 3")):
+        back = text_index.unpacked(text_index.packed(a))
+        assert back.exceptAll(a).isEmpty() and a.exceptAll(back).isEmpty()
+    assert text_index.packed(index).count() < index.count() / 4
+    bad = index.filter("token <> 't0'").unionByName(odd).withColumn("positions", F.when(F.col("token") == "t1", F.reverse("positions")).otherwise(F.col("positions")))
+    bad = bad.withColumn("doc_len", F.when((F.col("token") == "t2") & F.col("namespace").isNull(), 1).otherwise(F.col("doc_len")))
+    assert tuple(text_index.audit(index, bad).head()) == (30, 5, 0, index.filter("token = 't1' and tf > 1").count(), 9)
+    how = {(r["token"], r["repair"]) for r in text_index.repaired(index, bad).collect()}
+    assert ("t0", "added") in how and ("t2", "rewritten") in how and ("t3", "kept") in how and ("t3", "rewritten") not in how
+    assert text_index.repaired(index, bad).drop("repair").exceptAll(index).isEmpty()
