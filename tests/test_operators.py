@@ -365,3 +365,14 @@ def test_packed_postings(spark, monkeypatch):
     how = {(r["token"], r["repair"]) for r in text_index.repaired(index, bad).collect()}
     assert ("t0", "added") in how and ("t2", "rewritten") in how and ("t3", "kept") in how and ("t3", "rewritten") not in how
     assert text_index.repaired(index, bad).drop("repair").exceptAll(index).isEmpty()
+
+
+def test_advanced_tokens_in_bounded_batches(spark):
+    """A worker gets a bounded number of rows and bytes at once, whatever the session allowed before."""
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.set(rows, "10000")
+    spark.conf.set(size, "67108864b")
+    df = spark.createDataFrame([(1, "The Cafés are RUNNING"), (2, None)], "id int, t string")
+    got = {r["id"]: r["x"] for r in df.select("id", T.advanced_tokens(F.col("t")).alias("x")).collect()}
+    assert got == {1: ["cafe", "run"], 2: []}
+    assert int(spark.conf.get(rows)) <= 500 and int(spark.conf.get(size).rstrip("b")) <= 1 << 20
